@@ -26,7 +26,7 @@ def _pairs(lines: Column, key) -> Column:
         lines,
         lambda line: F.struct(
             key(F.substring_index(line, "=", 1)).alias("key"),
-            F.trim(F.substring(line, F.instr(line, "=") + 1, F.length(line))).alias("value"),
+            F.trim(F.regexp_replace(line, "^[^=]*=", "")).alias("value"),
         ),
     )
     return entries

@@ -7,8 +7,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,37 +30,43 @@ def group_pairs(available: DataFrame, groups: list[str]) -> DataFrame:
     )
 
 
+def _token_means(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Element-wise mean of token vectors per key; whole vectors are summed, none is exploded."""
+    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("vec").cast("array<double>"))))
+    return tokens.groupBy(*keys).agg(mean.alias("vec"), F.bool_or("available").alias("available"))
+
+
 def pool_groups(tokens: DataFrame) -> DataFrame:
-    """Mean over the tokens of a group, then over the available groups of a sample.
+    """Mean over the tokens of a group, then over the available groups of a sample (seven at most).
 
-    ``tokens``: sample_id, group_name, available, vec. Returns one row per sample and dimension;
-    a sample without any group has zeros.
+    ``tokens``: sample_id, group_name, available, vec. A sample without any group has zeros.
     """
-    e = tokens.select("sample_id", "group_name", "available", F.posexplode("vec").alias("dim", "x"))
-    group = e.groupBy("sample_id", "group_name", "dim").agg(
-        F.avg("x").alias("x"), F.bool_or("available").alias("available")
+    groups = _token_means(tokens, ["sample_id", "group_name"])
+    per_sample = groups.groupBy("sample_id").agg(
+        F.collect_list(F.when(F.col("available"), F.col("vec"))).alias("vecs"),
+        F.max(F.size("vec")).alias("dims"),
+    )
+    zeros = F.array_repeat(F.lit(0.0), F.col("dims"))
+    total = F.aggregate("vecs", zeros, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+    n = F.greatest(F.size("vecs"), F.lit(1))
+    return per_sample.withColumn("n", n).withColumn("total", total).select(
+        "sample_id", F.transform("total", lambda x: x / F.col("n")).alias("vec")
     )
-    total = F.sum(F.when(F.col("available"), F.col("x")).otherwise(0.0))
-    n = F.greatest(F.count_if("available"), F.lit(1))
-    return group.groupBy("sample_id", "dim").agg((total / n).alias("x"))
 
 
 def pool_valid_tokens(tokens: DataFrame) -> DataFrame:
-    """L2-normalised mean of the valid tokens per (batch, sample, group), as arrays.
+    """L2-normalised mean of the valid tokens per (batch, sample, group).
 
     Groups without any valid token are left out.
     """
-    e = tokens.where("available").select(
-        "batch_id", "sample_id", "group_name", F.posexplode("vec").alias("dim", "x")
-    )
-    means = e.groupBy("batch_id", "sample_id", "group_name", "dim").agg(F.avg("x").alias("x"))
-    vec = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda p: p["x"])
-    pooled = means.groupBy("batch_id", "sample_id", "group_name").agg(vec.alias("vec"))
+    pooled = _token_means(tokens.where("available"), ["batch_id", "sample_id", "group_name"])
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    safe = F.greatest(norm, F.lit(1e-12))
-    return pooled.withColumn("_n", safe).withColumn(
-        "vec", F.transform("vec", lambda x: x / F.col("_n"))
-    ).drop("_n")
+    return pooled.withColumn("_n", F.greatest(norm, F.lit(1e-12))).select(
+        "batch_id",
+        "sample_id",
+        "group_name",
+        F.transform("vec", lambda x: x / F.col("_n")).alias("vec"),
+    )
 
 
 def alignment_scores(pooled: DataFrame, groups: list[str], batch_size: int) -> DataFrame:
@@ -70,7 +77,7 @@ def alignment_scores(pooled: DataFrame, groups: list[str], batch_size: int) -> D
     """
     order = {g: i for i, g in enumerate(groups)}
 
-    def score(key, table: pa.Table) -> pa.Table:
+    def score(key, table):
         batch = key[0].as_py()
         vectors: dict[str, dict] = {}
         for s, g, v in zip(

@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from swathgrid.sources.workspace import checkpointed
+
 # A side up to this many rows is shipped to every task; beyond it Spark joins by shuffle.
 SMALL_ROWS = 200_000
+# A key with up to this many values is ordered by one task without narrowing first.
+DIRECT_ROWS = 1_000_000
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
     """Cut lineage through the checkpoint directory and tell the row count."""
-    from swathgrid.sources.workspace import checkpointed
-
     done = checkpointed(df)
     return done, done.count()
 
@@ -77,12 +79,14 @@ def quantiles(
     keys: list[str] = (),
     buckets: int = 4096,
     rounds: int = 2,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key: (keys, n, prob, quantile).
 
     Each round counts values per bucket and key, which combines before the shuffle, and narrows
     every wanted rank to one bucket. After two rounds the remaining interval holds a minute
-    share of the values; those are counted by value and ordered within their interval.
+    share of the values; those are counted by value and ordered within their interval. The
+    rounds are skipped if the largest key is small enough to be ordered as it is.
     """
     keys = list(keys) or ["_all"]
     vals = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
@@ -95,9 +99,10 @@ def quantiles(
     wanted = grid.withColumn("at", at).withColumn(
         "rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
     )
-    targets, n_targets = settle(wanted.withColumn("below", F.lit(0).cast("bigint")))
+    targets = checkpointed(wanted.withColumn("below", F.lit(0).cast("bigint")))
+    n_targets, largest = targets.agg(F.count(F.lit(1)), F.max("n")).first()
     span = [*keys, "lo", "hi"]
-    for i in range(rounds):
+    for i in range(0 if (largest or 0) <= direct_rows else rounds):
         scale = _squash if i == 0 else (lambda c: c)
         spans = targets.select(*span).distinct()
         hit = small_join(vals, spans, n_targets, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))

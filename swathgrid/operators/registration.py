@@ -11,6 +11,7 @@ from swathgrid.constants import METRES_PER_PIXEL, REGISTRATION_REGIONS, REGISTRA
 from swathgrid.grid import Grid
 from swathgrid.operators.raster import shift
 from swathgrid.operators.stats import robust_location
+from swathgrid.sources.workspace import checkpointed
 
 
 def named_regions(spark: SparkSession, grid: Grid, size: int = REGISTRATION_WINDOW) -> DataFrame:
@@ -88,7 +89,7 @@ def region_offsets(reference: DataFrame, target: DataFrame, regions: DataFrame,
     )
     hits = cells.join(spans, ["br", "bc"]).where(inside)
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         r0, c0, r1, c1 = (table[n][0].as_py() for n in ("r0", "c0", "r1", "c1"))
         sides = np.full((2, r1 - r0, c1 - c0), np.nan)
         which = table["is_ref"].to_numpy().astype(int)
@@ -122,7 +123,8 @@ def summarise_offsets(offsets: DataFrame) -> DataFrame:
             )
         ).alias("a")
     ).select("a.*")
-    per_axis = robust_location(axes, "d", ["axis"])
+    # Two rows per region: kept, since the robust location reads them several times.
+    per_axis = robust_location(checkpointed(axes), "d", ["axis"])
 
     def axis(name, col):
         return F.max(F.when(F.col("axis") == name, F.col(col)))

@@ -78,7 +78,7 @@ def random_mask(
     ``availability``: keys and ``available``; a ``ratio`` column overrides the argument.
     """
     r = F.col("ratio") if "ratio" in availability.columns else F.lit(float(ratio))
-    keep = F.greatest(F.lit(1), F.floor(F.lit(n_patches) * (1 - r) + F.lit(1e-9)))
+    keep = F.greatest(F.lit(1), F.floor(F.lit(n_patches) * (1 - r)))
     rows = availability.withColumn("_keep", keep).withColumn(
         "patch", F.explode(F.sequence(F.lit(0), F.lit(n_patches - 1)))
     )
@@ -203,7 +203,7 @@ def crop_pixels(crops: DataFrame, tiles: DataFrame, grid: Grid, size: int) -> Da
     touched = touched.withColumn("tile_row", span("row0")).withColumn("tile_col", span("col0"))
     parts = touched.join(tiles, ["tile_row", "tile_col"])
 
-    def build(key, table: pa.Table) -> pa.Table:
+    def build(key, table):
         crop_id, channel = key[0].as_py(), key[1].as_py()
         out = np.full((size, size), np.nan)
         for i in range(table.num_rows):

@@ -89,7 +89,7 @@ def roughness(
     )
     mean = F.col("s2") / F.col("n2")
     variance = F.greatest(F.col("q2") / F.col("n2") - mean * mean, F.lit(0.0))
-    return d.where(owned(grid.width, grid.height, block)).select(
+    return d.where(owned(grid.width, grid.height, block) & grid.contains(F.col("row"), F.col("col"))).select(
         *keys, "row", "col", F.when(F.col("v").isNotNull(), F.sqrt(variance)).alias("roughness")
     )
 
@@ -119,7 +119,7 @@ def halo_pieces(tiles: DataFrame, grid: Grid, halo: int) -> DataFrame:
     """Each tile whole for itself, and only its border strips for its eight neighbours."""
     t, rows, cols = grid.tile, grid.tile_rows, grid.tile_cols
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             out = {"channel": [], "tile_row": [], "tile_col": [], "dr": [], "dc": []}
@@ -168,7 +168,7 @@ def _assemble(table: pa.Table, t: int, halo: int) -> np.ndarray:
 def _tile_kernel(tiles: DataFrame, grid: Grid, halo: int, channel: str, kernel) -> DataFrame:
     t = grid.tile
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         r, c = table["tile_row"][0].as_py(), table["tile_col"][0].as_py()
         result = kernel(_assemble(table, t, halo), r, c)
         return pa.table(

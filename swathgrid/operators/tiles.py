@@ -55,7 +55,7 @@ def pack_tiles(cells: DataFrame, grid: Grid) -> DataFrame:
     """cells(channel, row, col, value) to dense tiles; cells that do not occur become NULL."""
     t = grid.tile
 
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         data = np.full(t * t, np.nan)
         data[table["idx"].to_numpy()] = table["value"].to_numpy()
         channel, r, c = (k.as_py() for k in key)
