@@ -50,7 +50,7 @@ def parse_header(text: Column) -> Column:
     """Image header text to a map: folded lines joined, ``;`` lines skipped, keys normalised."""
     unfolded = F.regexp_replace(F.regexp_replace(text, "\r", ""), "\n\\s+", " ")
     lines = F.filter(
-        F.transform(F.split(unfolded, "\n"), F.trim),
+        F.transform(F.split(unfolded, "\n"), lambda s: F.trim(s)),
         lambda s: s.contains("=") & ~s.startswith(";"),
     )
     return _last_wins(_pairs(lines, lambda k: F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("_"))))
@@ -64,7 +64,7 @@ def header_int(header: Column, key: str, default: int | None = None) -> Column:
 def header_list(value: Column) -> Column:
     """``{a, b, c}`` to an array of trimmed, non-empty items."""
     inner = F.regexp_replace(F.trim(value), "^\\{|\\}$", "")
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def file_name(path: Column) -> Column:
