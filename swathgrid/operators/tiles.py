@@ -7,7 +7,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.constants import CHANNEL_STATS, CHANNEL_TO_GROUP, CHANNELS, VALUE_RANGES
+from swathgrid.constants import (
+    CHANNEL_GROUPS,
+    CHANNEL_STATS,
+    CHANNEL_TO_GROUP,
+    CHANNELS,
+    VALUE_RANGES,
+)
 from swathgrid.grid import Grid
 from swathgrid.operators.stencil import array_column
 
@@ -253,3 +259,20 @@ def spatial_mean_targets(cells: DataFrame, grid: Grid, targets: list[str], requi
         for t in targets:
             out = out.where(F.col(f"_has_{t}"))
     return out.drop(*[f"_has_{t}" for t in targets])
+
+
+def assemble_samples(tiles: DataFrame) -> DataFrame:
+    """One row per patch: maps ``pixels``, ``has_channel`` and ``has_group`` (28 channels at most)."""
+    entry = F.struct(F.col("channel"), F.col("data"))
+    flag = F.struct(F.col("channel"), F.exists("data", lambda v: v.isNotNull()).alias("f"))
+    maps = tiles.groupBy("tile_row", "tile_col").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("pixels"),
+        F.map_from_entries(F.collect_list(flag)).alias("has_channel"),
+    )
+    groups = []
+    for name, members in CHANNEL_GROUPS.items():
+        present = F.lit(False)
+        for c in members:
+            present = present | F.coalesce(F.col("has_channel")[c], F.lit(False))
+        groups += [F.lit(name), present]
+    return maps.withColumn("has_group", F.create_map(*groups))
