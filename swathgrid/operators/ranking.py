@@ -15,8 +15,10 @@ from swathgrid.sources.workspace import checkpointed
 
 # A side up to this many rows is shipped to every task; beyond it Spark joins by shuffle.
 SMALL_ROWS = 200_000
-# A key with up to this many values is ordered by one task without narrowing first.
-DIRECT_ROWS = 1_000_000
+# An interval with up to this many values is ordered by one task.
+DIRECT_ROWS = 100_000
+# Each round divides an interval by thousands, so this is never reached by distinct values.
+MAX_ROUNDS = 8
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
@@ -78,31 +80,44 @@ def quantiles(
     probs: list[float],
     keys: list[str] = (),
     buckets: int = 4096,
-    rounds: int = 2,
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key: (keys, n, prob, quantile).
 
     Each round counts values per bucket and key, which combines before the shuffle, and narrows
-    every wanted rank to one bucket. After two rounds the remaining interval holds a minute
-    share of the values; those are counted by value and ordered within their interval. The
-    rounds are skipped if the largest key is small enough to be ordered as it is.
+    every wanted rank to one bucket. Rounds go on until the intervals left are small enough for
+    one task each; the values in them are counted and ordered within their interval. All rounds
+    read ``df`` again, so it should be a stored table where it is costly to compute.
     """
     keys = list(keys) or ["_all"]
+    span = [*keys, "lo", "hi"]
     vals = df.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
     vals = vals.select(*keys, F.col(value).cast("double").alias("_v"))
     size = vals.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
     )
     grid = size.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    at = F.col("prob") * (F.col("n") - 1)
-    wanted = grid.withColumn("at", at).withColumn(
-        "rank", F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
+    wanted = grid.withColumn("at", F.col("prob") * (F.col("n") - 1)).select(
+        *span,
+        "n",
+        "prob",
+        "at",
+        F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at")))).alias("rank"),
+        F.lit(0).cast("bigint").alias("below"),
+        F.col("n").alias("held"),
     )
-    targets = checkpointed(wanted.withColumn("below", F.lit(0).cast("bigint")))
-    n_targets, largest = targets.agg(F.count(F.lit(1)), F.max("n")).first()
-    span = [*keys, "lo", "hi"]
-    for i in range(0 if (largest or 0) <= direct_rows else rounds):
+
+    def settled(df):
+        """The targets with their number, and the most rows that one open interval holds."""
+        done = checkpointed(df)
+        open_rows = F.max(F.when(F.col("lo") < F.col("hi"), F.col("held")))
+        rows, held = done.agg(F.count(F.lit(1)), open_rows).first()
+        return done, rows, held or 0
+
+    targets, n_targets, held = settled(wanted)
+    for i in range(MAX_ROUNDS):
+        if held <= direct_rows:
+            break
         scale = _squash if i == 0 else (lambda c: c)
         spans = targets.select(*span).distinct()
         hit = small_join(vals, spans, n_targets, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
@@ -118,9 +133,19 @@ def quantiles(
         step = targets.join(counts, span).where(
             (inside >= F.col("upto") - F.col("c")) & (inside < F.col("upto"))
         )
-        step = step.withColumn("below", F.col("below") + F.col("upto") - F.col("c"))
-        step = step.drop("lo", "hi", "c", "_b", "upto").withColumnsRenamed({"lo2": "lo", "hi2": "hi"})
-        targets, n_targets = settle(step)
+        targets, n_targets, held = settled(
+            step.select(
+                *keys,
+                F.col("lo2").alias("lo"),
+                F.col("hi2").alias("hi"),
+                "n",
+                "prob",
+                "at",
+                "rank",
+                (F.col("below") + F.col("upto") - F.col("c")).alias("below"),
+                F.col("c").alias("held"),
+            )
+        )
     spans = targets.select(*span).distinct()
     hit = small_join(vals, spans, n_targets, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
     by_value = hit.groupBy(*span, "_v").agg(F.count(F.lit(1)).alias("c"))

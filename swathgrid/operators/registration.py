@@ -19,7 +19,8 @@ def named_regions(spark: SparkSession, grid: Grid, size: int = REGISTRATION_WIND
 
     Windows with less than half the size along a side are left out.
     """
-    df = spark.createDataFrame(REGISTRATION_REGIONS, "region string, lat double, lon double")
+    rows = ", ".join(f"('{name}', {lat!r}D, {lon!r}D)" for name, lat, lon in REGISTRATION_REGIONS)
+    df = spark.sql(f"SELECT * FROM VALUES {rows} AS t(region, lat, lon)")
     r0 = F.greatest(grid.row_of(F.col("lat")) - size // 2, F.lit(0))
     c0 = F.greatest(grid.col_of(F.col("lon")) - size // 2, F.lit(0))
     w = df.withColumn("r0", r0).withColumn("c0", c0)

@@ -79,12 +79,17 @@ def random_mask(
     """
     r = F.col("ratio") if "ratio" in availability.columns else F.lit(float(ratio))
     keep = F.greatest(F.lit(1), F.floor(F.lit(n_patches) * (1 - r)))
-    rows = availability.withColumn("_keep", keep).withColumn(
-        "patch", F.explode(F.sequence(F.lit(0), F.lit(n_patches - 1)))
+    ids = [F.col(k) for k in keys]
+    # The shuffled patch numbers of a row are an array made in place: no shuffle of rows.
+    order = F.array_sort(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(n_patches - 1)),
+            lambda p: F.struct(digest(seed, *ids, p).alias("h"), p.alias("patch")),
+        )
     )
-    w = W.partitionBy(*keys).orderBy(digest(seed, *[F.col(k) for k in keys], F.col("patch")), "patch")
-    visible = (F.row_number().over(w) <= F.col("_keep")) & F.col("available")
-    return rows.withColumn("visible", visible).select(*keys, "patch", "visible")
+    rows = availability.select(*keys, "available", keep.alias("_keep"), F.posexplode(order).alias("_k", "p"))
+    visible = (F.col("_k") < F.col("_keep")) & F.col("available")
+    return rows.select(*keys, F.col("p.patch").alias("patch"), visible.alias("visible"))
 
 
 def anchor_groups(availability: DataFrame, prob: float, seed=42, anchor_ratio=0.0, other_ratio=0.9,

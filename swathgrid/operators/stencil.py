@@ -16,9 +16,11 @@ from swathgrid.operators.blocks import BLOCK, owned, with_halo
 MIN_COS_LAT = 0.01
 
 
-def _at(value: str, window, offset: int) -> Column:
-    """Value exactly ``offset`` positions away, NULL if that cell is missing."""
-    return F.max(value).over(window.rangeBetween(offset, offset))
+def _beside(value: str, pos: str, window, step: int) -> Column:
+    """Value of the cell one step away, NULL if that cell is missing."""
+    there = F.lag(pos).over(window) if step < 0 else F.lead(pos).over(window)
+    v = F.lag(value).over(window) if step < 0 else F.lead(value).over(window)
+    return F.when(there == F.col(pos) + step, v)
 
 
 def slope(
@@ -41,8 +43,10 @@ def slope(
     halo = with_halo(base, grid.width, grid.height, 1, keys, block=block)
     along = W.partitionBy(*keys, "block_row", "block_col", "row").orderBy("col")
     down = W.partitionBy(*keys, "block_row", "block_col", "col").orderBy("row")
-    n = halo.withColumn("west", _at("v", along, -1)).withColumn("east", _at("v", along, 1))
-    n = n.withColumn("north", _at("v", down, -1)).withColumn("south", _at("v", down, 1))
+    n = halo.withColumn("west", _beside("v", "col", along, -1))
+    n = n.withColumn("east", _beside("v", "col", along, 1))
+    n = n.withColumn("north", _beside("v", "row", down, -1))
+    n = n.withColumn("south", _beside("v", "row", down, 1))
     v = F.col("v")
 
     def difference(pos, size, before, after):

@@ -21,12 +21,14 @@ from swathgrid.operators.stencil import array_column
 def channel_table(spark: SparkSession) -> DataFrame:
     """The channel registry: 28 rows by definition, so shipping it to every task is safe."""
     rows = [
-        (c, i, CHANNEL_TO_GROUP[c], *VALUE_RANGES[c], *CHANNEL_STATS[c]) for i, c in enumerate(CHANNELS)
+        f"('{c}', {i}, '{CHANNEL_TO_GROUP[c]}', "
+        + ", ".join(f"{x!r}D" for x in (*VALUE_RANGES[c], *CHANNEL_STATS[c]))
+        + ")"
+        for i, c in enumerate(CHANNELS)
     ]
-    return spark.createDataFrame(
-        rows,
-        "channel string, idx int, group_name string, min_valid double, max_valid double, "
-        "mean double, std double",
+    return spark.sql(
+        f"SELECT * FROM VALUES {', '.join(rows)} "
+        "AS t(channel, idx, group_name, min_valid, max_valid, mean, std)"
     )
 
 

@@ -179,7 +179,7 @@ def windowed_read(spark, sf):
 
 @query(
     "normalised_store",
-    "K3 P9 DM11",
+    "K3 P9 C19 S18",
     f"""SELECT channel, row, col, round(CAST(CAST(CASE channel WHEN 'elevation' THEN (value + 456.82745361328125e0) / 2291.07861328125e0
       ELSE (value - 0.07985502481460571e0) / 0.026131946593523026e0 END AS FLOAT) AS DOUBLE), 2) AS z FROM ({FLOAT_LAYERS}) f WHERE channel IN ('elevation', 'm3_750')""",
 )

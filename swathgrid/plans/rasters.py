@@ -461,7 +461,7 @@ def quantiles_narrowed(spark, sf):
     """The same quantiles by the way that large keys take."""
     from swathgrid.operators.ranking import quantiles
 
-    q = quantiles(layers(spark, sf), "value", [0.5, 0.999], ["channel"], buckets=64, direct_rows=0)
+    q = quantiles(layers(spark, sf), "value", [0.5, 0.999], ["channel"], buckets=64, direct_rows=10)
     return q.select("channel", "prob", F.round("quantile", 6).alias("quantile"))
 
 
@@ -552,7 +552,7 @@ def shifted_pair(spark, sf):
     return grid, ref, moved
 
 
-@query("registration_offsets", "G1")
+@query("registration_offsets", "G1 O3")
 def registration_offsets(spark, sf):
     grid, ref, moved = shifted_pair(spark, sf)
     size = 24 if grid.height >= 24 else grid.height
