@@ -13,36 +13,21 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def _targets(x: str, size: int, halo: int, block: int, pad: bool) -> Column:
-    """Array of (pos, blk): padded positions of a coordinate and the blocks that need them."""
-    last = (size - 1) // block
+def _padded(x: str, size: int, halo: int) -> Column:
+    """Positions a cell fills: itself, and for a border cell those outside the grid."""
     c = F.col(x)
-    inside = c % block
-    interior = (inside >= 2 * halo) & (inside < block - 2 * halo)
-    if pad:
-        interior = interior & (c > 0) & (c < size - 1)
-        start = F.when(c == 0, c - halo).otherwise(c)
-        stop = F.when(c == size - 1, c + halo).otherwise(c)
-        positions = F.sequence(start, stop)
-    else:
-        positions = F.array(c)
-
-    def clamp(b):
-        return F.least(F.greatest(F.floor(b).cast("int"), F.lit(0)), F.lit(last))
-
-    spread = F.flatten(
-        F.transform(
-            positions,
-            lambda p: F.transform(
-                F.sequence(clamp((p - halo) / block), clamp((p + halo) / block)),
-                lambda b: F.struct(p.cast("int").alias("pos"), b.cast("int").alias("blk")),
-            ),
-        )
-    )
-    own = F.array(
-        F.struct(c.cast("int").alias("pos"), F.floor(c / block).cast("int").alias("blk"))
-    )
-    return F.when(interior, own).otherwise(spread)
+    start = F.when(c == 0, c - halo).otherwise(c)
+    return F.sequence(start, F.when(c == size - 1, c + halo).otherwise(c))
+
+
+def _blocks(x: str, size: int, halo: int, block: int) -> Column:
+    """Blocks along one axis whose cells or halo include a position: nearly always one."""
+
+    def home(pos):
+        b = F.floor(pos / block).cast("int")
+        return F.least(F.greatest(b, F.lit(0)), F.lit((size - 1) // block))
+
+    return F.sequence(home(F.col(x) - halo), home(F.col(x) + halo))
 
 
 def with_halo(
@@ -51,30 +36,23 @@ def with_halo(
     height: int,
     halo: int,
     keys: list[str] = (),
-    pad: str | None = None,
+    pad: bool = False,
     block: int = BLOCK,
 ) -> DataFrame:
     """Cells with ``block_row``/``block_col``, repeated for halos, shuffled once by block.
 
-    ``pad='edge'`` repeats border cells outside the grid, ``pad='null'`` adds such cells with
-    NULL values. Only cells at a block edge take the slower array path.
+    ``pad`` repeats the border cells outside the grid.
     """
-    others = [c for c in cells.columns if c not in ("row", "col", *keys)]
-    spread = cells.withColumn("_r", F.explode(_targets("row", height, halo, block, pad is not None)))
-    spread = spread.withColumn("_c", F.explode(_targets("col", width, halo, block, pad is not None)))
-    if pad == "null":
-        real = (F.col("_r.pos") == F.col("row")) & (F.col("_c.pos") == F.col("col"))
-        values = [F.when(real, F.col(c)).alias(c) for c in others]
-    else:
-        values = [F.col(c) for c in others]
-    return spread.select(
-        *keys,
-        F.col("_r.blk").alias("block_row"),
-        F.col("_c.blk").alias("block_col"),
-        F.col("_r.pos").alias("row"),
-        F.col("_c.pos").alias("col"),
-        *values,
-    ).repartition(*keys, "block_row", "block_col")
+    values = [c for c in cells.columns if c not in ("row", "col", *keys)]
+    spread = cells
+    if pad:
+        spread = spread.withColumn("row", F.explode(_padded("row", height, halo)))
+        spread = spread.withColumn("col", F.explode(_padded("col", width, halo)))
+    spread = spread.withColumn("block_row", F.explode(_blocks("row", height, halo, block)))
+    spread = spread.withColumn("block_col", F.explode(_blocks("col", width, halo, block)))
+    return spread.select(*keys, "block_row", "block_col", "row", "col", *values).repartition(
+        *keys, "block_row", "block_col"
+    )
 
 
 def owned(width: int, height: int, block: int = BLOCK) -> Column:

@@ -122,18 +122,26 @@ def anchor_groups(availability: DataFrame, prob: float, seed=42, anchor_ratio=0.
 # ---- crops ---------------------------------------------------------------------------------
 
 
-def valid_prefix_counts(cells: DataFrame, value: str = "value") -> DataFrame:
-    """Number of valid cells above and left of each cell, itself included.
+def valid_prefix_counts(cells: DataFrame, grid: Grid, value: str = "value") -> DataFrame:
+    """Number of valid cells above and left of each grid cell, itself included.
 
-    Needs a row for every grid cell. Rows and columns are as long as the grid is wide and high.
+    Valid cells are laid over an empty grid; a range frame gives both the same sum, and the
+    grid's own rows are kept. Rows and columns are as long as the grid is wide and high.
     """
-    along = W.partitionBy("row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
+    spark, i = cells.sparkSession, F.col("id")
+    empty = spark.range(grid.width * grid.height).select(
+        F.floor(i / grid.width).cast("int").alias("row"),
+        (i % grid.width).cast("int").alias("col"),
+        F.lit(0).alias("ok"),
+    )
+    valid = cells.where(F.col(value).isNotNull()).select("row", "col", F.lit(1).alias("ok"))
+    along = W.partitionBy("row").orderBy("col").rangeBetween(W.unboundedPreceding, 0)
     down = W.partitionBy("col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    ok = F.col(value).isNotNull().cast("bigint")
     return (
-        cells.select("row", "col", ok.alias("ok"))
-        .withColumn("ok", F.sum("ok").over(along))
-        .select("row", "col", F.sum("ok").over(down).alias("n_valid"))
+        empty.unionByName(valid)
+        .withColumn("n", F.sum("ok").over(along))
+        .where(F.col("ok") == 0)
+        .select("row", "col", F.sum("n").over(down).alias("n_valid"))
     )
 
 
@@ -180,7 +188,7 @@ def sample_crops(
         ]
     )
     looked = origins.withColumn("c", F.explode(corners)).select("crop_id", "try", "row0", "col0", "c.*")
-    counts = valid_prefix_counts(cells)
+    counts = valid_prefix_counts(cells, grid)
     share = F.coalesce(F.sum(F.col("sign") * F.col("n_valid")), F.lit(0)) / F.lit(float(size * size))
     scored = (
         looked.join(counts, ["row", "col"], "left")

@@ -73,27 +73,30 @@ def roughness(
 ) -> DataFrame:
     """Standard deviation of the valid cells in a square window, borders replicated.
 
-    The window is separable: (count, sum, sum of squares) along rows, then down columns. Values
-    are taken relative to the block mean, which keeps the difference of moments accurate.
+    The window is separable: (count, sum, sum of squares) along rows, then down columns. Each
+    cell is handed to the positions beside it, so missing cells count like NULL ones. Values are
+    taken relative to the block mean, which keeps the difference of moments accurate.
     """
     k = window // 2
     base = cells.select(*keys, "row", "col", F.col(value).alias("v"))
-    halo = with_halo(base, grid.width, grid.height, k, keys, pad="edge", block=block)
+    halo = with_halo(base, grid.width, grid.height, k, keys, pad=True, block=block)
     blk = [*keys, "block_row", "block_col"]
-    along = W.partitionBy(*blk, "row").orderBy("col").rangeBetween(-k, k)
+    centred = halo.withColumn("d", F.col("v") - F.avg("v").over(W.partitionBy(*blk)))
+    beside = centred.withColumn("at", F.explode(F.sequence(F.col("col") - k, F.col("col") + k)))
+    own = F.col("at") == F.col("col")
+    along = beside.groupBy(*blk, "row", F.col("at")).agg(
+        F.count("d").alias("n"),
+        F.sum("d").alias("s"),
+        F.sum(F.col("d") * F.col("d")).alias("q"),
+        F.max(F.when(own, F.col("v"))).alias("v"),
+        F.bool_or(own).alias("given"),
+    ).withColumnRenamed("at", "col")
     down = W.partitionBy(*blk, "col").orderBy("row").rangeBetween(-k, k)
-    d = halo.withColumn("d", F.col("v") - F.avg("v").over(W.partitionBy(*blk)))
-    d = (
-        d.withColumn("n1", F.count("d").over(along))
-        .withColumn("s1", F.sum("d").over(along))
-        .withColumn("q1", F.sum(F.col("d") * F.col("d")).over(along))
-        .withColumn("n2", F.sum("n1").over(down))
-        .withColumn("s2", F.sum("s1").over(down))
-        .withColumn("q2", F.sum("q1").over(down))
-    )
-    mean = F.col("s2") / F.col("n2")
-    variance = F.greatest(F.col("q2") / F.col("n2") - mean * mean, F.lit(0.0))
-    return d.where(owned(grid.width, grid.height, block) & grid.contains(F.col("row"), F.col("col"))).select(
+    both = along.withColumns({x: F.sum(x).over(down) for x in ("n", "s", "q")})
+    mean = F.col("s") / F.col("n")
+    variance = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))
+    mine = owned(grid.width, grid.height, block) & grid.contains(F.col("row"), F.col("col"))
+    return both.where(F.col("given") & mine).select(
         *keys, "row", "col", F.when(F.col("v").isNotNull(), F.sqrt(variance)).alias("roughness")
     )
 
