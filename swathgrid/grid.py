@@ -28,12 +28,22 @@ class Grid:
 
     @property
     def tile_rows(self) -> int:
+        """Whole tiles from north to south."""
         return self.height // self.tile
 
     @property
     def tile_cols(self) -> int:
         return self.width // self.tile
 
+    @property
+    def tiles_down(self) -> int:
+        """Tiles from north to south, a partial last one included."""
+        return -(-self.height // self.tile)
+
+    @property
+    def tiles_across(self) -> int:
+        return -(-self.width // self.tile)
+
     def row_of(self, lat: Column) -> Column:
         """Row of a latitude; the cast truncates toward zero, as the definition wants."""
         return ((F.lit(90.0) - lat) * F.lit(self.ppd)).cast("int")

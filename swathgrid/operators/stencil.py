@@ -124,7 +124,7 @@ PIECES = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
 
 def halo_pieces(tiles: DataFrame, grid: Grid, halo: int) -> DataFrame:
     """Each tile whole for itself, and only its border strips for its eight neighbours."""
-    t, rows, cols = grid.tile, grid.tile_rows, grid.tile_cols
+    t, rows, cols = grid.tile, grid.tiles_down, grid.tiles_across
 
     def cut(batches):
         for batch in batches:

@@ -37,14 +37,20 @@ def with_registry(df: DataFrame, how: str = "inner") -> DataFrame:
     return df.join(F.broadcast(channel_table(df.sparkSession)), "channel", how)
 
 
-def add_tile(cells: DataFrame, grid: Grid) -> DataFrame:
-    """Tile position and row-major index inside the tile; incomplete edge tiles are left out."""
+def place_in_tiles(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Tile position and row-major index inside the tile."""
     t = grid.tile
     return (
         cells.withColumn("tile_row", F.floor(F.col("row") / t).cast("int"))
         .withColumn("tile_col", F.floor(F.col("col") / t).cast("int"))
         .withColumn("idx", ((F.col("row") % t) * t + F.col("col") % t).cast("int"))
-        .where((F.col("tile_row") < grid.tile_rows) & (F.col("tile_col") < grid.tile_cols))
+    )
+
+
+def add_tile(cells: DataFrame, grid: Grid) -> DataFrame:
+    """Cells of patches: incomplete tiles at the grid's edge are no patches and are left out."""
+    return place_in_tiles(cells, grid).where(
+        (F.col("tile_row") < grid.tile_rows) & (F.col("tile_col") < grid.tile_cols)
     )
 
 
@@ -60,7 +66,10 @@ def stack_columns(df: DataFrame, channels: dict[str, str], keep=("row", "col"))
 
 
 def pack_tiles(cells: DataFrame, grid: Grid) -> DataFrame:
-    """cells(channel, row, col, value) to dense tiles; cells that do not occur become NULL."""
+    """cells(channel, row, col, value) to dense tiles; cells that do not occur become NULL.
+
+    A raster has one value per cell, so a tile is at most ``tile * tile`` rows.
+    """
     t = grid.tile
 
     def pack(key, table):
@@ -77,7 +86,7 @@ def pack_tiles(cells: DataFrame, grid: Grid) -> DataFrame:
         )
 
     return (
-        add_tile(cells, grid)
+        place_in_tiles(cells, grid)
         .select("channel", "tile_row", "tile_col", "idx", F.col("value").cast("double").alias("value"))
         .groupBy("channel", "tile_row", "tile_col")
         .applyInArrow(pack, "channel string, tile_row int, tile_col int, data array<float>")
@@ -92,7 +101,7 @@ def unpack_tiles(tiles: DataFrame, grid: Grid) -> DataFrame:
         (F.col("tile_row") * t + F.floor(F.col("idx") / t).cast("int")).alias("row"),
         (F.col("tile_col") * t + F.col("idx") % t).alias("col"),
         "value",
-    )
+    ).where((F.col("row") < grid.height) & (F.col("col") < grid.width))
 
 
 def read_window(tiles: DataFrame, grid: Grid, row: int, col: int, height: int, width: int) -> DataFrame:

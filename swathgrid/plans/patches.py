@@ -144,7 +144,7 @@ def channel_stack(spark, sf):
     return T.stack_channels(base, new, fixed)
 
 
-FLOAT_LAYERS = f"SELECT channel, row, col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM ({LAYERS_SQL}) l WHERE {WHOLE}"
+FLOAT_LAYERS = f"SELECT channel, row, col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM ({LAYERS_SQL}) l"
 
 
 @query(
@@ -406,11 +406,11 @@ def geology_target(spark, sf):
 @query(
     "latitude_band",
     "F4",
-    """SELECT patch_id, center_lat FROM patches WHERE center_lat BETWEEN -45 AND 30""",
+    """SELECT patch_id, center_lat FROM patches WHERE center_lat BETWEEN -45 AND 82""",
 )
 def latitude_band(spark, sf):
     p = fixture(spark, sf, "patches").select("patch_id", "center_lat")
-    return p.where(F.col("center_lat").between(-45, 30))
+    return p.where(F.col("center_lat").between(-45, 82))
 
 
 CATEGORISED = f"""SELECT *, {CATEGORY} AS category, CAST(FLOOR(tile_row / 5e0) * 10 + FLOOR(tile_col / 5e0) AS INT) AS block_id FROM patches"""
