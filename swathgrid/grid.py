@@ -45,11 +45,14 @@ class Grid:
         return -(-self.width // self.tile)
 
     def row_of(self, lat: Column) -> Column:
-        """Row of a latitude; the cast truncates toward zero, as the definition wants."""
-        return ((F.lit(90.0) - lat) * F.lit(self.ppd)).cast("int")
+        """Row of a latitude; the cast truncates toward zero, as the definition wants.
+
+        Positions too large for a row number give NULL, which is off the grid.
+        """
+        return ((F.lit(90.0) - lat) * F.lit(self.ppd)).try_cast("int")
 
     def col_of(self, lon: Column) -> Column:
-        return ((lon + F.lit(180.0)) * F.lit(self.ppd)).cast("int")
+        return ((lon + F.lit(180.0)) * F.lit(self.ppd)).try_cast("int")
 
     def contains(self, row: Column, col: Column) -> Column:
         return row.between(0, self.height - 1) & col.between(0, self.width - 1)

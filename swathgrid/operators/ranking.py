@@ -27,10 +27,19 @@ def settle(df: DataFrame) -> tuple[DataFrame, int]:
     return done, done.count()
 
 
-def small_join(big: DataFrame, small: DataFrame, rows: int, on: list[str], how: str = "inner") -> DataFrame:
+def small_join(
+    big: DataFrame, small: DataFrame, rows: int, on: str | list[str], how: str = "inner"
+) -> DataFrame:
+    """Ship the counted side to every task if it is small; else leave the join to Spark."""
     return big.join(F.broadcast(small) if rows <= SMALL_ROWS else small, on, how)
 
 
+def counted_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """:func:`small_join` with a side that is stored first, so that counting it costs nothing."""
+    done, rows = settle(small)
+    return small_join(big, done, rows, on, how)
+
+
 def hash_rank(df: DataFrame, keys: list[str], digest: str, tie: str) -> DataFrame:
     """1-based ``rank`` by a hex digest within keys, and the key's size ``n_in_key``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from swathgrid.functions.hashing import digest, hash_int
 from swathgrid.grid import Grid
-from swathgrid.operators.ranking import first_by_hash, hash_rank
+from swathgrid.operators.ranking import first_by_hash, hash_rank, small_join
 from swathgrid.operators.stencil import array_column
 
 # Above this, a per-key sample is cut by exact bucketed ranks instead of Spark's group limit.
@@ -28,12 +28,14 @@ def few_shot(df: DataFrame, label: str, key: str, n: int, seed=42) -> DataFrame:
 def dense_positions(*samples: DataFrame, key: str) -> DataFrame:
     """Union of the keys of few-shot samples with positions 0.. in key order.
 
-    Keys are numbered in two steps, blocks of consecutive keys and places inside a block.
+    Keys are numbered in two steps: 65 536 stretches of the key range, and places in a stretch.
     """
     ids = None
     for s in samples:
         ids = s.select(key) if ids is None else ids.union(s.select(key))
-    ids = ids.distinct().withColumn("_b", F.floor(F.col(key) / 65536))
+    ids = ids.distinct()
+    lo, span = ids.agg(F.min(key)).scalar(), ids.agg(F.greatest(F.max(key) - F.min(key), F.lit(1))).scalar()
+    ids = ids.withColumn("_b", F.floor((F.col(key) - lo) / span * 65535))
     counts = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_s"))
     place = F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1
@@ -61,8 +63,7 @@ def evenly_spaced(ranked: DataFrame, position: str, n_rows: int, k: int = 100) -
     spots = ranked.sparkSession.range(k).select(
         F.floor(F.col("id") * F.lit(n_rows - 1) / F.lit(k - 1)).cast("bigint").alias(position)
     )
-    # k rows, a parameter.
-    return ranked.join(F.broadcast(spots.distinct()), position, "left_semi")
+    return small_join(ranked, spots.distinct(), k, position, "left_semi")
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -183,17 +183,20 @@ def flag_maps(flags: DataFrame) -> DataFrame:
     return flags.groupBy("tile_row", "tile_col").agg(F.map_from_entries(entries).alias("has_channel"))
 
 
-def stack_channels(base: DataFrame, *layers: DataFrame, key=("channel", "row", "col")) -> DataFrame:
+def stack_channels(
+    base: DataFrame, *layers: DataFrame, key=("channel", "row", "col"), value: str = "value"
+) -> DataFrame:
     """Layer rasters over each other: for a channel in several layers the last layer wins.
 
     Whole channels are replaced, as when a re-read raster overrides a stored one: cells that are
-    nodata in the overriding layer are nodata in the result.
+    nodata in the overriding layer are nodata in the result. Dense tiles are stacked in the same
+    way with their own key and value columns.
     """
     tagged = None
     for level, layer in enumerate([base, *layers]):
-        part = layer.select(*key, "value").withColumn("level", F.lit(level))
+        part = layer.select(*key, value).withColumn("level", F.lit(level))
         tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.groupBy(*key).agg(F.max_by("value", "level").alias("value"))
+    return tagged.groupBy(*key).agg(F.max_by(value, "level").alias(value))
 
 
 def coverage_by_channel(flags: DataFrame) -> DataFrame:

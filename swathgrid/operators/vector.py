@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from swathgrid.constants import LUNAR_RADIUS_M
 from swathgrid.grid import Grid
+from swathgrid.operators.ranking import counted_join
 
 WORD = 64
 
@@ -148,7 +149,7 @@ def polygon_raster(polygons: DataFrame, grid: Grid) -> DataFrame:
 def attach_units(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     """Add the unit name and dense unit id to rasterised cells."""
     named = polygons.select("ordinal", "unit").join(unit_ids(polygons), "unit")
-    return cells.join(named, "ordinal").select("row", "col", "unit", "unit_id", "ordinal")
+    return counted_join(cells, named, "ordinal").select("row", "col", "unit", "unit_id", "ordinal")
 
 
 def unit_ids(units: DataFrame, unit: str = "unit") -> DataFrame:
@@ -166,8 +167,8 @@ def parse_wkt_ring(wkt: Column) -> Column:
     points = F.transform(
         F.split(body, ","),
         lambda s: F.struct(
-            F.split(F.trim(s), r"\s+")[0].cast("double").alias("x"),
-            F.split(F.trim(s), r"\s+")[1].cast("double").alias("y"),
+            F.get(F.split(F.trim(s), r"\s+"), 0).try_cast("double").alias("x"),
+            F.get(F.split(F.trim(s), r"\s+"), 1).try_cast("double").alias("y"),
         ),
     )
     closed = F.element_at(points, 1) == F.element_at(points, -1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from swathgrid.functions.hashing import digest
 from swathgrid.functions.labels import is_mare
-from swathgrid.operators.ranking import hash_rank
+from swathgrid.operators.ranking import counted_join, hash_rank
 
 
 def zonal_units(cells: DataFrame, zone=("tile_row", "tile_col"), unit="unit_id", order="idx") -> DataFrame:
@@ -36,16 +36,13 @@ def with_mare(cells: DataFrame, unit: str = "unit") -> DataFrame:
 
 
 def name_units(zones: DataFrame, units: DataFrame) -> DataFrame:
-    """Unit id to name: 'none' for id 0, 'unknown' for ids without a name.
-
-    ``units`` is the legend, at most 32 767 rows by the type of its id.
-    """
-    legend = F.broadcast(units.select(F.col("unit_id").alias("dominant_unit_id"), "unit"))
+    """Unit id to name: 'none' for id 0, 'unknown' for ids without a name."""
+    legend = units.select(F.col("unit_id").alias("dominant_unit_id"), "unit")
     name = F.when(F.col("dominant_unit_id") == 0, "none").otherwise(
         F.coalesce(F.col("unit"), F.lit("unknown"))
     )
     return (
-        zones.join(legend, "dominant_unit_id", "left")
+        counted_join(zones, legend, "dominant_unit_id", "left")
         .withColumn("dominant_unit_name", name)
         .drop("unit")
     )

@@ -13,6 +13,7 @@ from swathgrid.operators import metrics as M
 from swathgrid.operators import sampling as P
 from swathgrid.operators import stats as S
 from swathgrid.operators import tiles as T
+from swathgrid.operators.ranking import counted_join
 from swathgrid.plans.fixtures import TOKENS, dem_grid, fixture, table, tokens
 from swathgrid.plans.rasters import layers, off_tie, rounded
 from swathgrid.plans.registry import query
@@ -191,10 +192,8 @@ def weighted_loss(spark, sf):
 def blend_display(spark, sf):
     e = elements(spark, sf)
     medians = S.display_range(e.withColumnRenamed("target", "value"), ["group_name"])
-    # Seven groups: the medians fit every task.
-    joined = e.join(token_mask(spark, sf), ["sample_id", "group_name", "patch"]).join(
-        F.broadcast(medians.select("group_name", "median")), "group_name"
-    )
+    masked = e.join(token_mask(spark, sf), ["sample_id", "group_name", "patch"])
+    joined = counted_join(masked, medians.select("group_name", "median"), "group_name")
     seen = F.col("visible")
     return joined.select(
         "sample_id",

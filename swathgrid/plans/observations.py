@@ -8,6 +8,7 @@ from swathgrid.functions.geo import illumination_weight, wrap_lon
 from swathgrid.operators import mosaic as M
 from swathgrid.operators.ranking import quantiles
 from swathgrid.operators.tiles import stack_columns
+from swathgrid.plans.files import write_cubes, write_flat_rasters
 from swathgrid.plans.fixtures import OBS_GRID, dem_grid, fixture, table
 from swathgrid.plans.registry import query
 from swathgrid.sources import binary
@@ -268,7 +269,7 @@ def dem_strips(spark, sf):
 def cube_manifest(spark, sf):
     """Cubes and headers in the shared folder, and their manifest parsed from the headers."""
     folder = scratch(spark, "cubes").removeprefix("file:")
-    files = written(binary.write_cubes(dem_strips(spark, sf), folder, CUBE_BANDS), "files")
+    files = written(write_cubes(dem_strips(spark, sf), folder, CUBE_BANDS), "files")
     headers = binary.cube_headers(spark, f"{folder}/*.hdr")
     strip = F.regexp_extract("hdr_path", r"([^/]+)\.hdr$", 1)
     return files.join(headers.withColumn("strip_id", strip), "strip_id")
@@ -324,7 +325,7 @@ FLAT_SQL = "SELECT row, col, round(CAST(CAST(lola AS FLOAT) AS DOUBLE), 3) AS va
 def flat_folder(spark, sf):
     folder = scratch(spark, "flat").removeprefix("file:")
     dem = fixture(spark, sf, "dem").select("row", "col", F.col("lola").alias("value"))
-    written(binary.write_flat_rasters(dem, folder, 125, FLAT_ROWS), "flat-files")
+    written(write_flat_rasters(dem, folder, 125, FLAT_ROWS), "flat-files")
     return folder
 
 

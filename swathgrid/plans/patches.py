@@ -10,6 +10,7 @@ from swathgrid.operators import sampling as P
 from swathgrid.operators import tiles as T
 from swathgrid.operators import vector
 from swathgrid.operators import zonal as Z
+from swathgrid.operators.ranking import counted_join, settle, small_join
 from swathgrid.operators.stats import patch_stats, quality_issues
 from swathgrid.plans.fixtures import LAYER_CHANNELS, LAYERS_SQL, dem_grid, fixture, table
 from swathgrid.plans.rasters import layers, off_tie, rounded
@@ -320,8 +321,8 @@ LEFT JOIN (SELECT unit, CAST(dense_rank() OVER (ORDER BY unit) AS INT) AS unit_i
 
 def zones(spark, sf):
     units = fixture(spark, sf, "units")
-    ids = vector.unit_ids(units)
-    cells = T.add_tile(units.join(F.broadcast(ids), "unit", "left"), dem_grid(spark, sf))
+    ids, n = settle(vector.unit_ids(units))
+    cells = T.add_tile(small_join(units, ids, n, "unit", "left"), dem_grid(spark, sf))
     return Z.name_units(Z.zonal_units(Z.with_mare(cells)), ids)
 
 
@@ -400,7 +401,7 @@ def geo_split(spark, sf):
 def geology_target(spark, sf):
     p = fixture(spark, sf, "patches")
     ids = vector.unit_ids(p, "unit_name").withColumnRenamed("unit", "unit_name")
-    return p.join(F.broadcast(ids), "unit_name").select("patch_id", (F.col("unit_id") - 1).alias("target"))
+    return counted_join(p, ids, "unit_name").select("patch_id", (F.col("unit_id") - 1).alias("target"))
 
 
 @query(

@@ -15,6 +15,7 @@ from swathgrid.operators import stencil
 from swathgrid.operators import tiles as T
 from swathgrid.operators import vector
 from swathgrid.operators import zonal as Z
+from swathgrid.operators.ranking import counted_join
 from swathgrid.operators.sampling import uniform_sample
 from swathgrid.sources import binary
 
@@ -98,8 +99,7 @@ def fix_radar(aligned: DataFrame, stats: DataFrame) -> tuple[DataFrame, DataFram
     logged = _map_value(aligned, V.log1p_compress(F.col("value")))
     fresh = S.mean_std(logged, skip_zero=True)
     updated = S.upsert_stats(stats, fresh)
-    # The statistics table has a row per channel of the registry (28).
-    known = logged.join(F.broadcast(updated), "channel")
+    known = counted_join(logged, updated, "channel")
     z = V.zscore(F.when(F.col("value") != 0, F.col("value")), F.col("mean"), F.col("std"))
     return known.select("channel", "row", "col", z.alias("value")), updated
 
@@ -110,12 +110,10 @@ def mosaic_bands(
     """Band tiles to one raster.
 
     ``cells``: tile, row, col, value; ``layout``: tile, ordinal, row0, col0 (target position of
-    each tile's corner, a handful of rows). Later ordinals overwrite earlier ones.
+    each tile's corner). Later ordinals overwrite earlier ones.
     """
     valid = _map_value(cells, V.reflectance_valid(F.col("value"), nodata))
-    placed = R.regrid_bilinear(valid, src, dst, keys=["tile"], block=block).join(
-        F.broadcast(layout), "tile"
-    )
+    placed = counted_join(R.regrid_bilinear(valid, src, dst, keys=["tile"], block=block), layout, "tile")
     placed = placed.withColumn("row", F.col("row") + F.col("row0")).withColumn(
         "col", F.pmod(F.col("col") + F.col("col0"), F.lit(grid.width)).cast("int")
     )
@@ -185,6 +183,5 @@ def validate(cells: DataFrame, grid: Grid, n_patches: int = 100, seed=42) -> Dat
     number = F.col("tile_row") * grid.tile_cols + F.col("tile_col")
     patches = tiled.select("tile_row", "tile_col").distinct().withColumn("patch_id", number)
     sample = uniform_sample(patches, "patch_id", n_patches, seed)
-    # The sample has n_patches rows by construction.
-    part = tiled.join(F.broadcast(sample.select("tile_row", "tile_col")), ["tile_row", "tile_col"], "left_semi")
+    part = counted_join(tiled, sample.select("tile_row", "tile_col"), ["tile_row", "tile_col"], "left_semi")
     return S.range_validation(S.patch_stats(part))

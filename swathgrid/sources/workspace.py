@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_root(spark: SparkSession) -> str:
     """The configured checkpoint folder; one is made only where none is set, as in local runs."""
     context = spark.sparkContext
-    root = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    root = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         root = tempfile.mkdtemp(prefix="swathgrid-")
     if context.getCheckpointDir() is None:

@@ -73,8 +73,8 @@ def current_stats(updates: DataFrame) -> DataFrame:
     """Latest row per channel with mean and population deviation."""
     rest = [c for c in updates.columns if c not in ("channel", "batch")]
     last = updates.groupBy("channel").agg(*[F.max_by(c, "batch").alias(c) for c in rest])
-    mean = F.col("sum") / F.col("n")
-    variance = F.greatest(F.col("sum_sq") / F.col("n") - mean * mean, F.lit(0.0))
+    mean = F.try_divide("sum", "n")
+    variance = F.greatest(F.try_divide("sum_sq", "n") - mean * mean, F.lit(0.0))
     return last.select("channel", "n", "min", "max", mean.alias("mean"), F.sqrt(variance).alias("std"))
 
 
@@ -82,7 +82,10 @@ def admit_strips(
     arrivals: DataFrame, key: str, time: str, delay: str, path: str, checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Pass daytime strips on, each once, however often it is delivered within the delay."""
+    """Pass daytime strips on, each once, however often it is delivered within the delay.
+
+    State is one key per strip of the delay. For long delays run it on the RocksDB state store.
+    """
     day = (F.col("incidence") > 0) & (F.col("incidence") < MAX_INCIDENCE_DEG)
     admitted = (
         arrivals.where(F.col("incidence").isNull() | day)
