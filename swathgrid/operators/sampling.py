@@ -206,8 +206,21 @@ def sample_crops(
     return best.withColumn("accepted", F.col("try").isNotNull())
 
 
+def blank_crops(crops: DataFrame, channels: list[str], size: int) -> DataFrame:
+    """Samples of crops without an acceptable origin: zeros, and no channel available."""
+    return crops.where(~F.col("accepted")).select(
+        "crop_id",
+        F.explode(F.array(*[F.lit(c) for c in channels])).alias("channel"),
+        F.lit(False).alias("has_channel"),
+        F.array_repeat(F.lit(0.0).cast("float"), size * size).alias("pixels"),
+    )
+
+
 def crop_pixels(crops: DataFrame, tiles: DataFrame, grid: Grid, size: int) -> DataFrame:
-    """Crop arrays per channel, put together from the at most four tiles each crop touches."""
+    """Crop arrays per channel, put together from the tiles each accepted crop touches.
+
+    With tiles no smaller than crops those are four at most.
+    """
     t = grid.tile
 
     def span(origin):

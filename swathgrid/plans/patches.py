@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swathgrid.functions import labels as L
-from swathgrid.functions.values import narrow_count
+from swathgrid.operators import mosaic as M
 from swathgrid.operators import sampling as P
 from swathgrid.operators import tiles as T
 from swathgrid.operators import vector
 from swathgrid.operators import zonal as Z
 from swathgrid.operators.ranking import counted_join, settle, small_join
 from swathgrid.operators.stats import patch_stats, quality_issues
-from swathgrid.plans.fixtures import LAYER_CHANNELS, LAYERS_SQL, dem_grid, fixture, table
+from swathgrid.plans import pipelines as PL
+from swathgrid.plans.fixtures import LAYER_CHANNELS, LAYERS_SQL, OBS_GRID, dem_grid, fixture, table
+from swathgrid.plans.observations import BANDS, GRIDDED
 from swathgrid.plans.rasters import layers, off_tie, rounded
 from swathgrid.plans.registry import query
 from swathgrid.sources import tables as IO
@@ -236,19 +238,21 @@ def channel_sample_maps(spark, sf):
 
 @query(
     "multiangle_store",
-    "K9 P13",
-    """SELECT row, col, CAST(least(greatest(n, 0), 255) AS INT) AS n_obs, round(inc, 2) AS incidence FROM (
-      SELECT CAST(l_partkey % 97 AS INT) AS row, CAST(l_suppkey % 31 AS INT) AS col, count(*) * 9 - 40 AS n, avg(l_quantity) AS inc
-      FROM lineitem GROUP BY 1, 2) g""",
+    "K9 P13 C16",
+    f"""SELECT CAST(FLOOR(row / 4e0) AS INT) AS tile_row, CAST(FLOOR(col / 4e0) AS INT) AS tile_col, CAST((row % 4) * 4 + col % 4 AS INT) AS idx,
+    CAST(least(count(*), 255) AS INT) AS n_obs, """
+    + ", ".join(
+        f"round(CAST(CAST(sum(w * {a}) / sum(w) AS FLOAT) AS DOUBLE), 2) AS mean_{a}" for a in M.ANGLES
+    )
+    + f" FROM ({GRIDDED}) g GROUP BY row, col",
 )
 def multiangle_store(spark, sf):
-    g = table(spark, sf, "lineitem").groupBy(
-        (F.col("l_partkey") % 97).cast("int").alias("row"), (F.col("l_suppkey") % 31).cast("int").alias("col")
-    ).agg((F.count(F.lit(1)) * 9 - 40).alias("n"), F.avg("l_quantity").alias("inc"))
+    """Geometry layers of the mosaic by patch: counts in one byte, angles in single precision."""
     path = scratch(spark, "angles")
-    g.select("row", "col", narrow_count(F.col("n")).alias("n_obs"), "inc").write.parquet(path)
+    PL.write_multiangle(M.mosaic(fixture(spark, sf, "obs"), OBS_GRID, BANDS), OBS_GRID, path)
     back = spark.read.parquet(path)
-    return back.select("row", "col", F.col("n_obs").cast("int").alias("n_obs"), F.round("inc", 2).alias("incidence"))
+    angles = [F.round(F.col(f"mean_{a}").cast("double"), 2).alias(f"mean_{a}") for a in M.ANGLES]
+    return back.select("tile_row", "tile_col", "idx", F.col("n_obs").cast("int").alias("n_obs"), *angles)
 
 
 @query(

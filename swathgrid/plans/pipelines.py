@@ -177,6 +177,14 @@ def extend_patches(cells: DataFrame, grid: Grid, patches: DataFrame, *layers: Da
     return stacked, flags.join(keep, ["tile_row", "tile_col"], "left_semi")
 
 
+def write_multiangle(mosaicked: DataFrame, grid: Grid, path: str) -> None:
+    """Observation counts (one byte) and mean angles of a finished mosaic, by patch."""
+    placed = T.add_tile(mosaicked, grid)
+    angles = [F.col(f"mean_{a}").cast("float").alias(f"mean_{a}") for a in M.ANGLES]
+    counts = V.narrow_count(F.col("n_obs")).alias("n_obs")
+    placed.select("tile_row", "tile_col", "idx", counts, *angles).write.parquet(path)
+
+
 def validate(cells: DataFrame, grid: Grid, n_patches: int = 100, seed=42) -> DataFrame:
     """Range report over a seeded sample of patches."""
     tiled = T.add_tile(cells, grid)

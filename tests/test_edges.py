@@ -342,6 +342,17 @@ def test_crops_do_not_exceed_the_grid(spark):
             assert np.isfinite(window).mean() == pytest.approx(r["valid_fraction"])
     rejected = sampling.sample_crops(cells(spark, m), grid, 5, 7, min_valid=1.1, tries=3).collect()
     assert [r["accepted"] for r in rejected] == [False] * 5
+    none = sampling.sample_crops(cells(spark, m), grid, 5, 7, min_valid=1.1, tries=3)
+    blank = sampling.blank_crops(none, ["slope", "elevation"], 7).collect()
+    assert len(blank) == 10 and not any(r["has_channel"] or any(r["pixels"]) for r in blank)
+    tiles = T.pack_tiles(cells(spark, m, channel=F.lit("slope")), grid)
+    some = sampling.sample_crops(cells(spark, m), grid, 60, 7, min_valid=0.6, tries=6)
+    made = {r["crop_id"]: r["pixels"] for r in sampling.crop_pixels(some, tiles, grid, 7).collect()}
+    for r in out:
+        if r["accepted"]:
+            got = np.array([np.nan if v is None else v for v in made[r["crop_id"]]]).reshape(7, 7)
+            want = m[r["row0"] : r["row0"] + 7, r["col0"] : r["col0"] + 7]
+            np.testing.assert_allclose(got, want, rtol=1e-5)
 
 
 def test_evenly_spaced_keeps_short_tables(spark):
