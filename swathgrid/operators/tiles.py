@@ -65,31 +65,55 @@ def stack_columns(df: DataFrame, channels: dict[str, str], keep=("row", "col"))
     return df.select(*keep, F.explode(items).alias("_c")).select(*keep, "_c.channel", "_c.value")
 
 
+TILE_SCHEMA = "channel string, tile_row int, tile_col int, data array<float>"
+TILE_KEY = ["channel", "tile_row", "tile_col"]
+
+
+def _tile_batch(done: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+    keys, data = zip(*done, strict=True)
+    channel, row, col = zip(*keys, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(channel), pa.array(row, pa.int32()), pa.array(col, pa.int32()), array_column(data)],
+        names=[*TILE_KEY, "data"],
+    )
+
+
 def pack_tiles(cells: DataFrame, grid: Grid) -> DataFrame:
     """cells(channel, row, col, value) to dense tiles; cells that do not occur become NULL.
 
-    A raster has one value per cell, so a tile is at most ``tile * tile`` rows.
+    Cells are shuffled and sorted by tile; a task then fills one array after the other and never
+    holds more than the tiles of one batch.
     """
-    t = grid.tile
-
-    def pack(key, table):
-        data = np.full(t * t, np.nan)
-        data[table["idx"].to_numpy()] = table["value"].to_numpy()
-        channel, r, c = (k.as_py() for k in key)
-        return pa.table(
-            {
-                "channel": pa.array([channel]),
-                "tile_row": pa.array([r], pa.int32()),
-                "tile_col": pa.array([c], pa.int32()),
-                "data": array_column([data]),
-            }
-        )
+    area = grid.tile**2
+
+    def pack(batches):
+        key, data = None, None
+        for batch in batches:
+            names = batch.column(0).dictionary_encode()
+            codes = names.indices.to_numpy()
+            row, col, idx = (batch.column(i).to_numpy() for i in (1, 2, 3))
+            value = batch.column(4).to_numpy(zero_copy_only=False)
+            new = (codes[1:] != codes[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(codes)] if len(codes) else [0]
+            done = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                here = (names.dictionary[codes[a]].as_py(), int(row[a]), int(col[a]))
+                if here != key:
+                    if key is not None:
+                        done.append((key, data))
+                    key, data = here, np.full(area, np.nan)
+                data[idx[a:b]] = value[a:b]
+            if done:
+                yield _tile_batch(done)
+        if key is not None:
+            yield _tile_batch([(key, data)])
 
     return (
         place_in_tiles(cells, grid)
-        .select("channel", "tile_row", "tile_col", "idx", F.col("value").cast("double").alias("value"))
-        .groupBy("channel", "tile_row", "tile_col")
-        .applyInArrow(pack, "channel string, tile_row int, tile_col int, data array<float>")
+        .select(*TILE_KEY, "idx", F.col("value").cast("double").alias("value"))
+        .repartition(*TILE_KEY)
+        .sortWithinPartitions(*TILE_KEY)
+        .mapInArrow(pack, TILE_SCHEMA)
     )
 
 

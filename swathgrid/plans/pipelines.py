@@ -18,6 +18,7 @@ from swathgrid.operators import zonal as Z
 from swathgrid.operators.ranking import counted_join
 from swathgrid.operators.sampling import uniform_sample
 from swathgrid.sources import binary
+from swathgrid.sources.workspace import written
 
 Shape = tuple[int, int]
 
@@ -63,15 +64,23 @@ def align_radiometer(cells: DataFrame, label: DataFrame, src: Shape, dst: Shape,
 def derive_terrain(
     laser: DataFrame, stereo: DataFrame | None, grid: Grid, pixel_m: float | None = None, block: int = 256
 ) -> DataFrame:
-    """Blended elevation with slope and roughness (laser alone if there is no stereo model)."""
-    blended = R.blend_dems(laser, stereo).withColumnRenamed("elevation", "value")
-    lat = laser.select("row", "col", "lat")
-    dem = blended.join(lat, ["row", "col"])
-    slope = stencil.slope(dem, grid, lat="lat", pixel_m=pixel_m, block=block)
-    rough = stencil.roughness(dem, grid, block=block)
-    return (
-        blended.withColumnRenamed("value", "elevation").join(slope, ["row", "col"]).join(rough, ["row", "col"])
-    )
+    """Blended elevation, slope and roughness as three channels (laser alone without stereo).
+
+    The blend is stored once, as both derivatives read it.
+    """
+    blend = R.blend_dems(laser, stereo)
+    dem = written(blend.join(laser.select("row", "col", "lat"), ["row", "col"]), "elevation")
+    layers = {
+        "elevation": dem.select("row", "col", F.col("elevation").alias("value")),
+        "slope": stencil.slope(dem, grid, "elevation", "lat", pixel_m, block=block),
+        "roughness": stencil.roughness(dem, grid, "elevation", block=block),
+    }
+    out = None
+    for name, layer in layers.items():
+        value = "value" if name == "elevation" else name
+        part = layer.select(F.lit(name).alias("channel"), "row", "col", F.col(value).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def align_gravity(cells: DataFrame, src: Shape, dst: Shape, nodata: float, block: int = 256) -> DataFrame:

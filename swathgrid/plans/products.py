@@ -13,6 +13,7 @@ from swathgrid.plans.fixtures import DEM_PIXEL_M, LATTICE, LAYERS_SQL, dem, dem_
 from swathgrid.plans.rasters import (
     BLOCK,
     CRATER_SQL,
+    OFF_TIE,
     ROUGH_SQL,
     SLOPE_SQL,
     diamonds,
@@ -92,14 +93,18 @@ BLENDED = """SELECT row, col, lat, CASE WHEN abs(lat) < 58 THEN coalesce(sldem,
 @query(
     "product_terrain",
     "C5 J8 N1 N2",
-    f"""SELECT row, col, round(lola, 6) AS elevation, slope, roughness FROM ({BLENDED}) b
-    JOIN ({SLOPE_SQL.replace("FROM dem)", f"FROM ({BLENDED}) d)")}) s USING (row, col)
-    JOIN ({ROUGH_SQL.replace("FROM dem a", f"FROM ({BLENDED}) a").replace("JOIN dem b", f"JOIN ({BLENDED}) b")}) r USING (row, col)""",
+    f"""SELECT 'elevation' AS channel, row, col, round(lola + 17e-9, 3) AS value FROM ({BLENDED}) b
+    UNION ALL SELECT 'slope', row, col, round(slope + 17e-9, 3) FROM ({SLOPE_SQL.replace("FROM dem)", f"FROM ({BLENDED}) d)")}) s
+    UNION ALL SELECT 'roughness', row, col, round(roughness, 3)
+    FROM ({ROUGH_SQL.replace("FROM dem a", f"FROM ({BLENDED}) a").replace("JOIN dem b", f"JOIN ({BLENDED}) b")}) r""",
 )
 def product_terrain(spark, sf):
     laser, stereo = dem(spark, sf, "lola"), dem(spark, sf, "sldem").drop("lat")
     out = PL.derive_terrain(laser, stereo, dem_grid(spark, sf), DEM_PIXEL_M, BLOCK)
-    return rounded(rounded(rounded(out, "elevation"), "slope", digits=5), "roughness", digits=3)
+    # The SQL rounds slopes to five digits before.
+    value = F.when(F.col("channel") == "slope", F.round("value", 5)).otherwise(F.col("value"))
+    exact = F.when(F.col("channel") == "roughness", F.round(value, 3)).otherwise(F.round(value + OFF_TIE, 3))
+    return out.withColumn("value", exact)
 
 
 @query(
