@@ -169,6 +169,13 @@ def truncated_files(spark, sf):
 # ---- streams -------------------------------------------------------------------------------
 
 
+def state_session(spark):
+    """A session whose state stores are as many as the cluster has cores."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    return session
+
+
 def _stream(spark, path, schema, glob, **options):
     reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
     for k, v in options.items():
@@ -215,7 +222,7 @@ def stream_mosaic(spark, sf):
 )
 def stream_stats(spark, sf):
     schema = table(spark, sf, "lineitem").schema
-    strips = _obs_from(_stream(spark, sf, schema, "lineitem.parquet"))
+    strips = _obs_from(_stream(state_session(spark), sf, schema, "lineitem.parquet"))
     cells = stack_columns(strips, {c: c for c in (*BANDS, *M.ANGLES)}, keep=())
     sink = scratch(spark, "stats")
     job = jobs.stream_stats(cells, sink, scratch(spark, "stats-log"))
@@ -239,7 +246,7 @@ def stream_admission(spark, sf):
     # Every product is delivered twice.
     events.write.parquet(landing)
     events.write.mode("append").parquet(landing)
-    arrivals = _stream(spark, landing, events.schema, "*.parquet")
+    arrivals = _stream(state_session(spark), landing, events.schema, "*.parquet")
     out = scratch(spark, "admitted")
     job = jobs.admit_strips(arrivals, "product_id", "ts", "3650 days", out, scratch(spark, "admit-log"))
     admitted = jobs.drain(job, lambda: spark.read.parquet(out))

@@ -12,7 +12,7 @@ from swathgrid.operators import vector
 from swathgrid.operators import zonal as Z
 from swathgrid.operators.ranking import counted_join, settle, small_join
 from swathgrid.operators.stats import patch_stats, quality_issues
-from swathgrid.plans import pipelines as PL
+from swathgrid.plans import composites as PL
 from swathgrid.plans.fixtures import LAYER_CHANNELS, LAYERS_SQL, OBS_GRID, dem_grid, fixture, table
 from swathgrid.plans.observations import BANDS, GRIDDED
 from swathgrid.plans.rasters import layers, off_tie, rounded

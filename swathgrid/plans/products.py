@@ -8,7 +8,7 @@ from swathgrid.functions.text import parse_label
 from swathgrid.grid import Grid
 from swathgrid.operators import stats as S
 from swathgrid.operators import tiles as T
-from swathgrid.plans import pipelines as PL
+from swathgrid.plans import composites as PL
 from swathgrid.plans.fixtures import DEM_PIXEL_M, LATTICE, LAYERS_SQL, dem, dem_grid, fixture
 from swathgrid.plans.rasters import (
     BLOCK,
