@@ -552,12 +552,21 @@ def shifted_pair(spark, sf):
     return grid, ref, moved
 
 
-@query("registration_offsets", "G1 O3")
+def window_size(grid):
+    return min(24, grid.height)
+
+
+@query(
+    "registration_offsets",
+    "G1 O3",
+    f"""SELECT CAST(i AS VARCHAR) AS region, 2e0 AS dy, -3e0 AS dx FROM (SELECT {H} AS h, least(24, {H}) AS size) s
+    CROSS JOIN range(0, 100000) r(i) WHERE i < FLOOR(h / size) * FLOOR(125 / size)""",
+)
 def registration_offsets(spark, sf):
+    """The copy was rolled by (-2, +3), so every window must find (2, -3)."""
     grid, ref, moved = shifted_pair(spark, sf)
-    size = 24 if grid.height >= 24 else grid.height
-    regions = G.lattice_regions(spark, grid, size)
-    return rounded(G.region_offsets(ref, moved, regions, block=BLOCK), "peak", digits=3)
+    regions = G.lattice_regions(spark, grid, window_size(grid))
+    return G.region_offsets(ref, moved, regions, block=BLOCK).select("region", "dy", "dx")
 
 
 @query(
@@ -570,8 +579,7 @@ def registration_offsets(spark, sf):
 def registration_summary(spark, sf):
     """The copy was rolled by (-2, +3), so the robust offset must be (2, -3)."""
     grid, ref, moved = shifted_pair(spark, sf)
-    size = 24 if grid.height >= 24 else grid.height
-    out = G.summarise_offsets(G.region_offsets(ref, moved, G.lattice_regions(spark, grid, size), BLOCK))
+    out = G.summarise_offsets(G.region_offsets(ref, moved, G.lattice_regions(spark, grid, window_size(grid)), BLOCK))
     return rounded(out.drop("n_regions"), "total_offset_m")
 
 
@@ -583,8 +591,7 @@ def registration_summary(spark, sf):
 def registration_correction(spark, sf):
     """Correct the copy by the robust offset and measure again: nothing remains."""
     grid, ref, moved = shifted_pair(spark, sf)
-    size = 24 if grid.height >= 24 else grid.height
-    _, rest = G.register(ref, moved, G.lattice_regions(spark, grid, size), grid)
+    _, rest = G.register(ref, moved, G.lattice_regions(spark, grid, window_size(grid)), grid)
     return rest.groupBy("dy", "dx").agg(F.count(F.lit(1)).alias("n")).select("dy", "dx")
 
 
