@@ -63,7 +63,7 @@ def exact_dedup(
     rows = id_and_text(docs, key, text).withColumn("h", hash_key(F.col("text"), key_bits))
     row_file = written(rows.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256")), "dedup-rows")
     slots = written(
-        directory(row_file.select("h").distinct(), key_bits, capacity, max_depth).select("cell", "bucket").coalesce(1),
+        directory(row_file.select("h").distinct(), key_bits, capacity, max_depth).select("cell", "bucket"),
         "dedup-directory",
     )
     chains = (
