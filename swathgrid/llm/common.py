@@ -32,13 +32,13 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a piece holds about `most_bytes` of `column`, and one row at least."""
+def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int, most_rows: int = 32768) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that a piece holds about `most_bytes` of `column`, `most_rows` rows at most and one at least."""
     for batch in batches:
         sizes = [len(x) if x else 0 for x in map(lambda v: v.as_buffer(), batch.column(column))]
         start = held = 0
         for i, size in enumerate(sizes):
-            if held + size > most_bytes and i > start:
+            if (held + size > most_bytes and i > start) or i - start == most_rows:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
