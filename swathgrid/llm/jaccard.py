@@ -16,7 +16,9 @@ pairs of its empty segments, as a subset of segments that both have.
 
 Candidates are verified exactly. Copies of one set are one node. Components need no pair that lies in one component
 already: rounds compare the members of an index key with a few of them, then more, and
-end when every key is of one component or has had all its pairs compared. Nothing is capped.
+end when every key is of one component or has had all its pairs compared. After the first round, elements that
+only one of the remaining sets has bound what a set can share with any other, which leaves out
+pairs that are near but cannot link. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ EXACT, DELETED, EMPTIES = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x1656
 CHUNK_BYTES = 4 << 20
 HOT = 32  # documents of a chunk under one key, beyond which they travel as rows
 #: Pivots of a key in each round; the last round compares all.
-PIVOTS = (1, 16, 256, 1 << 62)
+PIVOTS = (1, 32, 1 << 62)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -221,6 +223,13 @@ def _shards(docs: DataFrame) -> int:
     return max(32, 4 * docs.rdd.getNumPartitions())
 
 
+def _alone(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, alone: how many of the set's elements no other of the wanted sets has."""
+    elements = wanted.join(sets, "node").select("node", F.explode("s").alias("x"))
+    once = elements.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
+    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs a, b those whose sets link."""
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
@@ -260,31 +269,50 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         found.filter("key IS NOT NULL").select("key", "uid").join(named, "uid").select("key", "node", "n").distinct(),
         "jaccard-members",
     )
-    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("g")).filter("g > 1")
+    # Near copies share many keys with the same members; one key of those is enough.
+    alike = ["g", "x1", "x2"]
+    groups = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("g"),
+        F.bit_xor(F.xxhash64("node")).alias("x1"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
+    )
+    groups = groups.filter("g > 1").groupBy(*alike).agg(F.min("key").alias("key")).select("key", "g")
     members = written(members.join(groups, "key"), "jaccard-members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "print", F.col("least").alias("doc_id"))
     sets = written(_sets(base, wanted, n), "jaccard-sets")
-    links, seen, labels = [], [], None
+    links, seen, labels, alone = [], [], None, None
     for r, pivots in enumerate(PIVOTS):
         left = members.withColumn("comp", F.col("node"))
         if labels is not None:
             left = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if r:
             left = left.filter(F.col("g") > max(2, PIVOTS[r - 1]))
-        order = F.xxhash64("node")
-        left = written(left.withColumn("order", order), "jaccard-round")
-        about = left.groupBy("key").agg(
-            F.min("order").alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high")
-        ).filter("low < high").select("key", "head")
-        left = left.join(about, "key")
-        share = F.pmod("order", F.lit(1 << 20)) < F.lit(float(min(pivots, 1 << 40)) * (1 << 20)) / F.col("g")
-        lead = left.filter((F.col("order") == F.col("head")) | (share if r else F.lit(False))).select(
-            "key", F.col("node").alias("p"), F.col("comp").alias("p_comp"), F.col("n").alias("p_n")
+        left = written(left.withColumn("order", F.xxhash64("node")), "jaccard-round")
+        about = (
+            left.groupBy("key")
+            .agg(F.min(F.struct("order", "node", "n", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            .filter("low < high")
+            .select("key", "lead")
         )
-        near = F.least("n", "p_n") * den >= F.greatest("n", "p_n") * num
+        left = left.join(about, "key")
+        if not r:
+            # The first round needs one pivot a key.
+            pairs = left.select("node", "n", "comp", F.col("lead.node").alias("p"), F.col("lead.n").alias("p_n"), F.col("lead.comp").alias("p_comp"))
+            pairs = pairs.withColumn("most", F.col("n")).withColumn("p_most", F.col("p_n"))
+        else:
+            if alone is None:
+                alone = written(_alone(left.select("node").distinct(), sets), "jaccard-alone")
+            left = left.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+            # A partner has num / den of the set's size at least, and they share that many of its elements.
+            left = written(left.filter(F.col("most") * den >= F.col("n") * num), "jaccard-round")
+            chosen = F.pmod("order", F.lit(1 << 20)) < F.lit(float(min(pivots, 1 << 40)) * (1 << 20)) / F.col("g")
+            lead = left.filter((F.col("order") == F.col("lead.order")) | chosen).select(
+                "key", *(F.col(c).alias(f"p_{c}") for c in ("comp", "n", "most")), F.col("node").alias("p")
+            )
+            pairs = left.join(lead, "key")
+        fits = F.least("most", "p_most") * (num + den) >= (F.col("n") + F.col("p_n")) * num
         pairs = (
-            left.join(lead, "key")
-            .filter((F.col("comp") != F.col("p_comp")) & near)
+            pairs.filter((F.col("comp") != F.col("p_comp")) & fits)
             .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
             .distinct()
         )
