@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.llm import chat, exact_dedup, jaccard, packing, pii, quality, topk
+from swathgrid.llm import chat, exact_dedup, jaccard, lm, packing, pii, quality, topk
 from swathgrid.llm.common import crc_mod, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_lm")
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op4_pii")
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents"))
