@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.llm import chat, exact_dedup, jaccard, lm, packing, pii, quality, topk
+from swathgrid.llm import chat, exact_dedup, jaccard, line_dedup, lm, packing, pii, quality, topk
 from swathgrid.llm.common import crc_mod, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), path, keep_ids=False).drop("ids")
 
 
+@query("op7_line_dedup")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    return line_dedup.drop_recurring_lines(before).select(
+        "doc_id",
+        "n_lines",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),
+        F.length(F.coalesce("text", F.lit(""))).alias("n_chars_left"),
+    )
+
+
 @query(
     "op8_exact_dedup",
     """
