@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.llm import chat, exact_dedup, jaccard, line_dedup, lm, packing, pii, quality, topk
+from swathgrid.llm import chat, exact_dedup, jaccard, line_dedup, lm, packing, pieces, pii, quality, topk
 from swathgrid.llm.common import crc_mod, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), path, keep=False).drop("ids", "decoded")
+
+
 @query("op3_lm")
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
