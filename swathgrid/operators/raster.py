@@ -57,12 +57,15 @@ def shift(
 def blend_dems(laser: DataFrame, stereo: DataFrame | None, lat: str = "lat") -> DataFrame:
     """Stereo elevations near the equator, laser near the poles, a linear mix from 58 to 62.
 
-    Inside the mixing band a cell is mixed only if both are valid; otherwise laser stays as is.
+    Inside the mixing band a cell is mixed only if both are valid; otherwise laser stays as is. Cells
+    that only the stereo raster holds count as laser nodata; their latitude comes from its own column.
     """
     if stereo is None:
         return laser.select("row", "col", F.col("value").alias("elevation"))
-    both = laser.join(stereo.select("row", "col", F.col("value").alias("stereo")), ["row", "col"], "left")
-    a = F.abs(F.col(lat))
+    own = F.col(lat) if lat in stereo.columns else F.lit(None).cast("double")
+    right = stereo.select("row", "col", F.col("value").alias("stereo"), own.alias("_lat"))
+    both = laser.join(right, ["row", "col"], "full" if lat in stereo.columns else "left")
+    a = F.abs(F.coalesce(F.col(lat), F.col("_lat")))
     mixed = F.col("stereo").isNotNull() & F.col("value").isNotNull()
     share = (a - 58.0) / 4.0
     elevation = (

@@ -28,14 +28,15 @@ def few_shot(df: DataFrame, label: str, key: str, n: int, seed=42) -> DataFrame:
 def dense_positions(*samples: DataFrame, key: str) -> DataFrame:
     """Union of the keys of few-shot samples with positions 0.. in key order.
 
-    Keys are numbered in two steps: 65 536 stretches of the key range, and places in a stretch.
+    Keys are numbered in two steps: stretches between 255 quantiles of the keys, and places in a stretch.
+    The stretches hold about equally many keys however these are spread.
     """
     ids = None
     for s in samples:
         ids = s.select(key) if ids is None else ids.union(s.select(key))
     ids = ids.distinct()
-    lo, span = ids.agg(F.min(key)).scalar(), ids.agg(F.greatest(F.max(key) - F.min(key), F.lit(1))).scalar()
-    ids = ids.withColumn("_b", F.floor((F.col(key) - lo) / span * 65535))
+    edges = ids.agg(F.percentile_approx(key, [i / 256 for i in range(1, 256)], 10_000)).scalar()
+    ids = ids.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(key)))).drop("_e")
     counts = ids.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_s"))
     place = F.row_number().over(W.partitionBy("_b").orderBy(key)) - 1

@@ -213,18 +213,30 @@ def stack_channels(
     """Layer rasters over each other: for a channel in several layers the last layer wins.
 
     Whole channels are replaced, as when a re-read raster overrides a stored one: cells that are
-    nodata in the overriding layer are nodata in the result. Dense tiles are stacked in the same
-    way with their own key and value columns.
+    nodata in the overriding layer are nodata in the result, and cells that it lacks are absent.
+    Dense tiles are stacked in the same way with their own key and value columns; without a channel in
+    the key, the last layer wins key by key.
     """
     tagged = None
     for level, layer in enumerate([base, *layers]):
         part = layer.select(*key, value).withColumn("level", F.lit(level))
         tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.groupBy(*key).agg(F.max_by(value, "level").alias(value))
-
-
-def coverage_by_channel(flags: DataFrame) -> DataFrame:
-    """Percentage of patches with data per channel."""
+    if "channel" not in key:
+        return tagged.groupBy(*key).agg(F.max_by(value, "level").alias(value))
+    top = tagged.groupBy("channel").agg(F.max("level").alias("level"))
+    return tagged.join(top, ["channel", "level"]).select(*key, value)
+
+
+def coverage_by_channel(flags: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """Percentage of patches with data per channel; of all `patches` if given, else of those with flags."""
+    if patches is not None:
+        place = ["tile_row", "tile_col"]
+        every = patches.select(*place).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+        return (
+            flags.groupBy("channel")
+            .agg(F.count_if("has_channel").alias("with_data"))
+            .select("channel", (F.col("with_data") / every * 100).alias("coverage_pct"), every.alias("n_patches"))
+        )
     return flags.groupBy("channel").agg(
         (F.avg(F.col("has_channel").cast("int")) * 100).alias("coverage_pct"),
         F.count(F.lit(1)).alias("n_patches"),

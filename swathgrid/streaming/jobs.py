@@ -47,12 +47,12 @@ def current_mosaic(partials: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def stream_stats(cells: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Running n, sum, sum of squares, min and max per channel; state is one row per channel."""
+    """Running n, mean, deviation, min and max per channel; state is one row per channel."""
     v = F.col("value")
     running = cells.groupBy("channel").agg(
         F.count(v).alias("n"),
-        F.sum(v).alias("sum"),
-        F.sum(v * v).alias("sum_sq"),
+        F.avg(v).alias("mean"),
+        F.stddev_pop(v).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
@@ -73,9 +73,7 @@ def current_stats(updates: DataFrame) -> DataFrame:
     """Latest row per channel with mean and population deviation."""
     rest = [c for c in updates.columns if c not in ("channel", "batch")]
     last = updates.groupBy("channel").agg(*[F.max_by(c, "batch").alias(c) for c in rest])
-    mean = F.try_divide("sum", "n")
-    variance = F.greatest(F.try_divide("sum_sq", "n") - mean * mean, F.lit(0.0))
-    return last.select("channel", "n", "min", "max", mean.alias("mean"), F.sqrt(variance).alias("std"))
+    return last.select("channel", "n", "min", "max", "mean", "std")
 
 
 def admit_strips(
