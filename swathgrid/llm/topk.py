@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 from swathgrid.sources.workspace import written
 
 NONE = np.iinfo(np.int64).min
-LEAF, FANOUT = 48, 32
+LEAF, FANOUT = 128, 32
 
 
 class CoverTree:
@@ -135,13 +135,16 @@ class Search:
         score = dots(self.q.points[own], self.p.points[theirs])
         ids = np.broadcast_to(self.p_ids[theirs], score.shape)
         out = (ids == self.q_ids[own, None]) | (score < np.maximum(self.scores[own, -1], self.floor[own])[:, None])
-        if out.all():
+        rows, columns = np.flatnonzero(~out.all(1)), np.flatnonzero(~out.all(0))
+        if not len(rows):
             return
-        score = np.concatenate([self.scores[own], np.where(out, NONE, score)], axis=1)
-        ids = np.concatenate([self.ids[own], np.where(out, np.iinfo(np.int64).max, ids)], axis=1)
+        # Only queries and vectors of a pair that counts are merged and sorted.
+        some, at = np.ix_(rows, columns), self.q.begin[node] + rows
+        score = np.concatenate([self.scores[at], np.where(out[some], NONE, score[some])], axis=1)
+        ids = np.concatenate([self.ids[at], np.where(out[some], np.iinfo(np.int64).max, ids[some])], axis=1)
         # ~x reverses integers without overflow.
         sort = np.lexsort((ids, ~score), axis=1)[:, : self.k]
-        self.scores[own], self.ids[own] = np.take_along_axis(score, sort, 1), np.take_along_axis(ids, sort, 1)
+        self.scores[at], self.ids[at] = np.take_along_axis(score, sort, 1), np.take_along_axis(ids, sort, 1)
 
 
 def search_block(queries: pa.Table, points: pa.Table, k: int) -> pa.Table:
