@@ -18,7 +18,9 @@ Candidates are verified exactly. Copies of one set are one node. Components need
 already: rounds compare the members of an index key with a few of them, then more, and
 end when every key is of one component or has had all its pairs compared. After the first round, elements that
 only one of the remaining sets has bound what a set can share with any other, which leaves out
-pairs that are near but cannot link. Nothing is capped.
+pairs that are near but cannot link. Each set also has a parity sketch: bit i tells whether an odd number of its
+elements hash to i. Two sketches differ in no more bits than the sets differ in elements, so the
+join on a key only makes the pairs whose sketches are near enough. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathgrid.llm.common import id_and_text, slices, words
@@ -43,6 +45,7 @@ CHUNK_BYTES = 4 << 20
 HOT = 32  # documents of a chunk under one key, beyond which they travel as rows
 #: Pivots of a key in each round; the last round compares all.
 PIVOTS = (1, 32, 1 << 62)
+SKETCH = 8  # words of 64 bits
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -230,6 +233,18 @@ def _alone(wanted: DataFrame, sets: DataFrame) -> DataFrame:
     return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The set's parity sketch as SKETCH signed words."""
+    odd = np.bincount((s % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _near(num: int, den: int) -> Column:
+    """Whether the sketches of a row's two sets allow a link: their sets differ in so many elements at least."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(SKETCH)))
+    return differ.cast("long") * (num + den) <= (F.col("n") + F.col("p_n")) * (den - num)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs a, b those whose sets link."""
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
@@ -287,17 +302,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             left = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if r:
             left = left.filter(F.col("g") > max(2, PIVOTS[r - 1]))
-        left = written(left.withColumn("order", F.xxhash64("node")), "jaccard-round")
+        sketches = sets.select("node", "bits")
+        left = written(left.withColumn("order", F.xxhash64("node")).join(sketches, "node"), "jaccard-round")
         about = (
             left.groupBy("key")
-            .agg(F.min(F.struct("order", "node", "n", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+            .agg(F.min(F.struct("order", "node", "n", "comp", "bits")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"))
             .filter("low < high")
             .select("key", "lead")
         )
         left = left.join(about, "key")
         if not r:
             # The first round needs one pivot a key.
-            pairs = left.select("node", "n", "comp", F.col("lead.node").alias("p"), F.col("lead.n").alias("p_n"), F.col("lead.comp").alias("p_comp"))
+            pairs = left.select("node", "n", "comp", "bits", F.col("lead.node").alias("p"), *(F.col(f"lead.{c}").alias(f"p_{c}") for c in ("n", "comp", "bits")))
             pairs = pairs.withColumn("most", F.col("n")).withColumn("p_most", F.col("p_n"))
         else:
             if alone is None:
@@ -307,12 +323,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             left = written(left.filter(F.col("most") * den >= F.col("n") * num), "jaccard-round")
             chosen = F.pmod("order", F.lit(1 << 20)) < F.lit(float(min(pivots, 1 << 40)) * (1 << 20)) / F.col("g")
             lead = left.filter((F.col("order") == F.col("lead.order")) | chosen).select(
-                "key", *(F.col(c).alias(f"p_{c}") for c in ("comp", "n", "most")), F.col("node").alias("p")
+                "key", *(F.col(c).alias(f"p_{c}") for c in ("comp", "n", "most", "bits")), F.col("node").alias("p")
             )
             pairs = left.join(lead, "key")
         fits = F.least("most", "p_most") * (num + den) >= (F.col("n") + F.col("p_n")) * num
         pairs = (
-            pairs.filter((F.col("comp") != F.col("p_comp")) & fits)
+            pairs.filter((F.col("comp") != F.col("p_comp")) & fits & _near(num, den))
             .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
             .distinct()
         )
@@ -340,7 +356,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def _sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, s (shingle hashes) of the wanted nodes; only their documents are read into sets."""
+    """node, s (shingle hashes), bits (parity sketch) of the wanted nodes; only their documents are read into sets."""
     nothing = -(2**63)
     ids = wanted.select(F.coalesce("doc_id", F.lit(nothing)).alias("id")).distinct()
     own = base.select(F.coalesce("doc_id", F.lit(nothing)).alias("id"), "text").join(ids, "id", "left_semi")
@@ -352,13 +368,15 @@ def _sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             ends = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
+            words_of = np.concatenate([np.zeros(0, np.int64), *map(parities, sets)])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), pa.array(words_of))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["print", "s"],
+                [pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), bits],
+                names=["print", "s", "bits"],
             )
 
-    made = own.mapInArrow(run, "print binary, s array<long>")
-    return made.join(wanted.select("node", "print"), "print").groupBy("node").agg(F.first("s").alias("s"))
+    made = own.mapInArrow(run, "print binary, s array<long>, bits array<long>")
+    return made.join(wanted.select("node", "print"), "print").groupBy("node").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
