@@ -29,48 +29,59 @@ SCHEMA = (
 )
 
 
+#: The vocabulary's own pieces of a lower-case ASCII word without contractions or control tokens.
+PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
     The vocabulary splits at white space before anything else, so a text's ids are those of its
-    words in order. Ids of frequent words are kept; the store is emptied when it is full.
+    words in order, and an ASCII word's those of its runs of letters, digits and signs. The ids of
+    words and runs are kept as bytes, which join to a text's ids; a full store is emptied.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most, self.known = most, {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known.clear()
-        self.flat: list[np.ndarray] = []
-        self.sizes: list[int] = []
+        self.most, self.known, self.parts = most, {}, {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [w for w in new if w.isascii() and "'" not in w and "<|" not in w]
+        for w, ids in zip(other := list(set(new).difference(plain)), self._encoded(other), strict=True):
+            self.known[w] = ids.tobytes()
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        cut, parts = [PARTS.findall(w.lower()) for w in plain], self.parts
+        unknown = list(set().union(*cut).difference(parts))
+        # Many runs make one text, as each gives exactly one id that ends a run.
+        for at in range(0, len(unknown), 4096):
+            some = unknown[at : at + 4096]
+            (ids,) = self._encoded([" ".join(some)])
+            raw, begin = ids.tobytes(), 0
+            for p, end in zip(some, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
+                parts[p] = raw[begin:end]
+                begin = end
+        for w, ps in zip(plain, cut, strict=True):
+            self.known[w] = b"".join([parts[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.most:
-            self.clear()
-        known, split = self.known, [split_words(t) for t in texts]
-        new = [w for w in {w for ws in split for w in ws} if w not in known]
+            self.known.clear()
+        split = [split_words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = len(self.sizes)
-                self.flat.append(np.array(e.ids, np.uint32))
-                self.sizes.append(len(e.ids))
-        flat = np.concatenate(self.flat) if self.flat else np.zeros(0, np.uint32)
-        self.flat = [flat]
-        sizes = np.array(self.sizes, np.int64)
-        begins = np.cumsum(sizes) - sizes
-        out = []
-        for ws in split:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            n = sizes[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ws) else 0
-            out.append(flat[np.repeat(begins[at] - (ends - n), n) + np.arange(total)])
-        return out
+            self._learn(list(new))
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, ws)), "<u4") for ws in split]
 
 
 #: White space as the vocabulary's own patterns have it; str.split() also cuts at U+001C to U+001F.
