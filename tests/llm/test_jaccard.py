@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from helpers import EDGE_ROWS, docs_of, documents, edge_docs, empty_docs
 
-from swathgrid.llm.jaccard import Bands, drop_near_duplicates, jaccard_components, keys_of
+from swathgrid.llm.jaccard import Bands, drop_near_duplicates, jaccard_components, keys_of, parities
 
 
 def shingles(text, n):
@@ -56,6 +56,16 @@ def test_linked_sets_share_a_key(num):
         assert len(np.intersect1d(*keys)), (len(a), len(b), both)
 
 
+def test_sketches_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 3, 40, 400, 4000):
+        for _ in range(50):
+            a, b = (np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64)) for _ in range(2))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], b[: size // 20]]))
+            bits = sum(int(x).bit_count() for x in (parities(a) ^ parities(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b))
+
+
 def mutated(seed, count=160):
     rng, out = random.Random(seed), []
     for _ in range(count):
