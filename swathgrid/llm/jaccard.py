@@ -16,9 +16,9 @@ pairs of its empty segments, as a subset of segments that both have.
 
 Candidates are verified exactly. Copies of one set are one node. Components need no pair that lies in one component
 already: rounds compare the members of an index key with a few of them, then more, and
-end when every key is of one component or has had all its pairs compared. After the first round, elements that
-only one of the remaining sets has bound what a set can share with any other, which leaves out
-pairs that are near but cannot link. Each set also has a parity sketch: bit i tells whether an odd number of its
+end when every key is of one component or has had all its pairs compared. Before the last round, which compares all
+pairs of the keys left, elements that only one of the remaining sets has bound what a set can share with any other,
+which leaves out sets that cannot link. Each set also has a parity sketch: bit i tells whether an odd number of its
 elements hash to i. Two sketches differ in no more bits than the sets differ in elements, so the
 join on a key only makes the pairs whose sketches are near enough. Nothing is capped.
 """
@@ -44,7 +44,7 @@ EXACT, DELETED, EMPTIES = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x1656
 CHUNK_BYTES = 4 << 20
 HOT = 32  # documents of a chunk under one key, beyond which they travel as rows
 #: Pivots of a key in each round; the last round compares all.
-PIVOTS = (1, 32, 1 << 62)
+PIVOTS = (1, 128, 1 << 62)
 SKETCH = 8  # words of 64 bits
 
 
@@ -295,7 +295,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     members = written(members.join(groups, "key"), "jaccard-members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", "print", F.col("least").alias("doc_id"))
     sets = written(_sets(base, wanted, n), "jaccard-sets")
-    links, seen, labels, alone = [], [], None, None
+    links, seen, labels = [], [], None
     for r, pivots in enumerate(PIVOTS):
         left = members.withColumn("comp", F.col("node"))
         if labels is not None:
@@ -316,11 +316,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             pairs = left.select("node", "n", "comp", "bits", F.col("lead.node").alias("p"), *(F.col(f"lead.{c}").alias(f"p_{c}") for c in ("n", "comp", "bits")))
             pairs = pairs.withColumn("most", F.col("n")).withColumn("p_most", F.col("p_n"))
         else:
-            if alone is None:
+            left = left.withColumn("most", F.col("n"))
+            if pivots == PIVOTS[-1]:
                 alone = written(_alone(left.select("node").distinct(), sets), "jaccard-alone")
-            left = left.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-            # A partner has num / den of the set's size at least, and they share that many of its elements.
-            left = written(left.filter(F.col("most") * den >= F.col("n") * num), "jaccard-round")
+                left = left.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+                # A partner has num / den of the set's size at least, and they share that many of its elements.
+                left = left.filter(F.col("most") * den >= F.col("n") * num)
+            left = written(left, "jaccard-round")
             chosen = F.pmod("order", F.lit(1 << 20)) < F.lit(float(min(pivots, 1 << 40)) * (1 << 20)) / F.col("g")
             lead = left.filter((F.col("order") == F.col("lead.order")) | chosen).select(
                 "key", *(F.col(c).alias(f"p_{c}") for c in ("comp", "n", "most", "bits")), F.col("node").alias("p")
