@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from helpers import EDGE_ROWS, docs_of, documents, edge_docs, empty_docs
 
+from swathgrid.llm import jaccard
 from swathgrid.llm.jaccard import Bands, drop_near_duplicates, jaccard_components, keys_of, parities
 
 
@@ -108,3 +109,17 @@ def test_edges(spark):
     kept = drop_near_duplicates(edge_docs(spark))
     assert kept.columns == edge_docs(spark).columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7]
+
+
+@pytest.mark.parametrize("pivots", [(1, 1 << 62), (1, 2, 1 << 62)])
+def test_last_round_finds_the_links_that_pivots_miss(spark, monkeypatch, pivots):
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for family in range(12):
+        own = base[:40] + [f"f{family}x{i}" for i in range(12)]
+        for _ in range(5):
+            texts.append(" ".join(w for w in own if rng.random() > 0.02))
+    rows = list(enumerate(texts))
+    assert got(jaccard_components(docs_of(spark, texts), 3, 80, 100)) == brute(rows, 3, 80, 100)
