@@ -17,8 +17,6 @@ from swathgrid.sources.workspace import checkpointed
 SMALL_ROWS = 200_000
 # An interval with up to this many values is ordered by one task.
 DIRECT_ROWS = 100_000
-# Each round divides an interval by thousands, so this is never reached by distinct values.
-MAX_ROUNDS = 8
 
 
 def settle(df: DataFrame) -> tuple[DataFrame, int]:
@@ -124,13 +122,13 @@ def quantiles(
         return done, rows, held or 0
 
     targets, n_targets, held = settled(wanted)
-    for i in range(MAX_ROUNDS):
-        if held <= direct_rows:
-            break
-        scale = _squash if i == 0 else (lambda c: c)
+    scale = _squash
+    # From the second round on, the ends of an interval fall into different buckets, so each round narrows it.
+    while held > direct_rows:
         spans = targets.select(*span).distinct()
         hit = small_join(vals, spans, n_targets, keys).where(F.col("_v").between(F.col("lo"), F.col("hi")))
         bucket = _bucket(scale(F.col("_v")), scale(F.col("lo")), scale(F.col("hi")), buckets)
+        scale = lambda c: c
         counts = (
             hit.withColumn("_b", bucket)
             .groupBy(*span, "_b")
