@@ -5,7 +5,9 @@ fields (with digits, addresses) are `<*>` from the start. At a leaf, lines that
 this masking are one constant template. The other lines of a leaf are generalised: a position
 keeps the token that half of the leaf's documents have there, and is variable otherwise. A line belongs to
 that template if `similar` of its constant tokens agree. Templates found in `min_docs` documents or
-more are recurring; their lines go from all documents but the one with the smallest id.
+more are recurring; their lines go from all documents but the one with the smallest id. How many documents
+a constant template needs depends on its length: lines of `long_tokens` tokens are passages, which `long_docs`
+documents do not share by chance; lines under `min_tokens` need `short_docs`, and are never generalised.
 
 Only hashes of lines are shuffled to find what recurs. Every count combines before its shuffle, so a line that
 a third of all documents share costs a row per task.
@@ -14,7 +16,7 @@ a third of all documents share costs a row per task.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _lines(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """Hashes of every line that has `min_tokens` tokens."""
+def _lines(rows: DataFrame, depth: int, min_tokens: int, needed: Callable[[int], int]) -> DataFrame:
+    """Hashes of every line that has tokens, and the documents it needs to recur; short lines have no leaf."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,18 +59,21 @@ def _lines(rows: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                 for i, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     for n, line in enumerate(text.split("\n")):
                         parts = tokens(line)
-                        if len(parts) >= min_tokens:
-                            out.append((i, h, n, leaf(parts, depth), _hash(parts)))
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "h", "line", "leaf", "full"])
+                        if parts:
+                            own = leaf(parts, depth) if len(parts) >= min_tokens else None
+                            out.append((i, h, n, own, _hash(parts), needed(len(parts))))
+                columns = list(zip(*out, strict=True)) or [()] * 6
+                names = ["id", "h", "line", "leaf", "full", "needed"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
-    return rows.mapInArrow(run, "id long, h long, line long, leaf long, full long")
+    return rows.mapInArrow(run, "id long, h long, line long, leaf long, full long, needed long")
 
 
-def _recurring(lines: DataFrame, by: str, min_docs: int) -> DataFrame:
-    """by, first (smallest id) of what occurs in min_docs documents."""
-    docs = lines.select(by, "id").distinct().groupBy(by).agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"))
-    return docs.filter(F.col("docs") >= min_docs)
+def _recurring(lines: DataFrame, by: str, needed: Column) -> DataFrame:
+    """by, docs, first (smallest id) of what occurs in `needed` documents."""
+    docs = lines.select(by, "id", needed.alias("needed")).distinct().groupBy(by)
+    docs = docs.agg(F.count(F.lit(1)).alias("docs"), F.min("id").alias("first"), F.min("needed").alias("needed"))
+    return docs.filter(F.col("docs") >= F.col("needed")).drop("needed")
 
 
 def _token_hashes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -93,15 +98,29 @@ def _token_hashes(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, min_docs: int = 5, min_tokens: int = 3, depth: int = 3, similar: float = 0.8, constants: int = 4
+    docs: DataFrame,
+    min_docs: int = 5,
+    min_tokens: int = 3,
+    depth: int = 3,
+    similar: float = 0.8,
+    constants: int = 4,
+    short_docs: int = 50,
+    long_tokens: int = 50,
+    long_docs: int | None = None,
 ) -> DataFrame:
-    """Lines to drop: id, h (a row's key), line (number from 0)."""
+    """Lines to drop: id, h (a row's key), line (number from 0). Without `long_docs`, long lines need `min_docs` too."""
     rows = _keyed(docs)
-    lines = written(_lines(rows, depth, min_tokens), "line-hashes")
-    constant = written(_recurring(lines, "full", min_docs), "line-constant")
+
+    def needed(tokens: int) -> int:
+        if tokens < min_tokens:
+            return max(short_docs, min_docs)
+        return long_docs if long_docs is not None and tokens >= long_tokens else min_docs
+
+    lines = written(_lines(rows, depth, min_tokens, needed), "line-hashes")
+    constant = written(_recurring(lines, "full", F.col("needed")), "line-constant")
     drop = lines.join(constant, "full").filter(F.col("id") != F.col("first")).select("id", "h", "line")
-    rest = lines.join(constant.select("full"), "full", "left_anti")
-    leaves = written(_recurring(rest, "leaf", min_docs).select("leaf", "docs"), "line-leaves")
+    rest = lines.filter("leaf IS NOT NULL").join(constant.select("full"), "full", "left_anti")
+    leaves = written(_recurring(rest, "leaf", F.lit(min_docs)).select("leaf", "docs"), "line-leaves")
     varied = written(_token_hashes(rows, rest.join(leaves.select("leaf"), "leaf", "left_semi").select("id", "h", "line", "leaf")), "line-tokens")
     places = varied.select("leaf", "id", F.posexplode("t").alias("pos", "token")).distinct().groupBy("leaf", "pos", "token").count()
     usual = places.join(leaves, "leaf").filter(F.col("count") * 2 >= F.col("docs"))
@@ -114,7 +133,7 @@ def recurring_lines(
         & (agree >= F.ceil(F.size("template") * similar))
     )
     matched = written(matched.select("id", "h", "line", "leaf"), "line-matched")
-    variable = matched.join(_recurring(matched, "leaf", min_docs), "leaf").filter(F.col("id") != F.col("first"))
+    variable = matched.join(_recurring(matched, "leaf", F.lit(min_docs)), "leaf").filter(F.col("id") != F.col("first"))
     return drop.unionByName(variable.select("id", "h", "line"))
 
 
@@ -123,7 +142,7 @@ def drop_recurring_lines(docs: DataFrame, **settings) -> DataFrame:
 
     The document with the smallest id keeps its lines, so nothing is lost from the corpus; no row
     goes, though a text can become empty. Null texts stay null, empty ones empty; a null id
-    counts as the largest. Repeated rows are one document. Lines with few tokens never recur.
+    counts as the largest. Repeated rows are one document. Lines without tokens never recur.
     """
     gone = recurring_lines(docs, **settings).groupBy("id", "h").agg(F.collect_set("line").alias("__gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("h").alias("__h"), "__gone")

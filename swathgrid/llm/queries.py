@@ -72,7 +72,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = docs.select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    return line_dedup.drop_recurring_lines(before).select(
+    return line_dedup.drop_recurring_lines(before, long_docs=2).select(
         "doc_id",
         "n_lines",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"),

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from helpers import docs_of, documents, edge_docs, empty_docs
 
 from swathgrid.llm.line_dedup import drop_recurring_lines, tokens
+from swathgrid.llm.queries import QUERIES
 
 
 def brute(rows, min_docs=5, min_tokens=3, depth=3, similar=0.8, constants=4):
@@ -61,6 +62,18 @@ def test_few_documents_or_short_lines_are_kept(spark):
     assert same(spark, docs_of(spark, texts)) == dict(enumerate(texts))
 
 
+def test_long_passages_and_frequent_short_lines_are_dropped(spark, tmp_path):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(60)]
+    passage = " ".join(f"word{chr(97 + i % 26)}" for i in range(55))
+    texts = [f"only {n} {n}{n}\nGo." for n in names] + [f"first {n}\n{passage}\nlast {n}" for n in "xy"]
+    texts += ["just five\n" + " ".join(passage.split()[:20])] * 4
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in QUERIES["op7_line_dedup"][0](spark, str(tmp_path)).collect()}
+    assert [got[i].n_chars_left for i in (0, 1, 59)] == [len(texts[0]), len(texts[1]) - 4, len(texts[59]) - 4]
+    assert [got[i].n_chars_left for i in (60, 61)] == [len(texts[60]), len("first y\nlast y")]
+    assert [got[i].n_chars_left for i in range(62, 66)] == [len(texts[62])] * 4
+
+
 def test_edges(spark):
     out = drop_recurring_lines(edge_docs(spark), min_docs=2)
     assert out.columns == edge_docs(spark).columns and out.count() == 10
