@@ -8,7 +8,7 @@ written character the source span it came from:
 3. spelled digits: three or more digit words in a row become digits, `plus` before them `+`.
 
 The plain patterns then run on the output. A find that uses at least one rewritten character
-and overlaps no plain find is mapped back to the source characters and added.
+and does not lie within a plain find is mapped back to the source characters and added; it may contain or overlap plain ones.
 All scans are linear in the text, so very long texts cost no more per character.
 """
 
@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -221,14 +223,17 @@ def hidden(text: str, base: list[Span]) -> list[Span]:
     if not disguised(text):
         return []
     out = transduce(text)
-    taken, found = sorted((s, e) for s, e, _ in base), []
+    # Plain finds by start, with the furthest end so far: a find lies within one if that end reaches its own.
+    taken = sorted((s, e) for s, e, _ in base)
+    begins, reach, found = [s for s, _ in taken], list(accumulate((e for _, e in taken), max)), []
     for start, end, kind in plain(out.text):
         if not any(out.new[start:end]):
             # A deleted character inside also counts as rewritten.
             if out.ends[end - 1] - out.starts[start] == end - start:
                 continue
         s, e = out.starts[start], out.ends[end - 1]
-        if not any(a < e and s < b for a, b in taken):
+        before = bisect_right(begins, s)
+        if not before or reach[before - 1] < e:
             found.append((s, e, kind))
     return found
 

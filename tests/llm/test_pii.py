@@ -60,6 +60,13 @@ def test_invisible_characters():
     assert [text[s:e] for s, e, _ in hidden(text, plain(text))] == ["joe@example​.com"]
 
 
+def test_hidden_finds_that_hold_a_plain_one_are_added():
+    for text in ("jоhn.doe@example.com", "joe@example.cоm", "joe\u200be@example.com"):
+        assert plain(text) and spans(text) == [(text, "email")]
+        assert masked(f"to {text} now") == "to [EMAIL] now"
+    assert spans("jоe and joe@example.com") == []
+
+
 def test_prose_is_left_alone():
     for text in ("look at the dot on the map", "one two many", "at (dot) x", "éè ñ café at noon. dot"):
         assert spans(text) == []
