@@ -4,8 +4,9 @@
 written character the source span it came from:
 
 1. characters: homoglyphs and full-width or styled forms become ASCII, invisible characters vanish;
-2. disguises: `[at]`, `(dot)` and the like, and `name at host dot tld`, become `@` and `.`;
-3. spelled digits: three or more digit words in a row become digits, `plus` before them `+`.
+2. brackets: `[at]`, `(dot)` and the like become `@` and `.`;
+3. speech: what is left of `name at host dot tld`, and ` dot ` between the four numbers of an IP, becomes `@` and `.`;
+4. spelled digits: three or more digit words in a row become digits, `plus` before them `+`.
 
 The plain patterns then run on the output. A find that uses at least one rewritten character
 and does not lie within a plain find is mapped back to the source characters and added; it may contain or overlap plain ones.
@@ -128,16 +129,30 @@ def characters() -> tuple[dict[str, str], re.Pattern]:
 
 
 BRACKETED = re.compile(r"\s{0,3}[\[({<]\s{0,3}(?:(at|@)|(dot|\.))\s{0,3}[\])}>]\s{0,3}", re.I)
-# Endings that spoken addresses must have, as `at` and `dot` are words of prose too.
+# Endings that spoken addresses must have if neither @ nor a bracket shows them, as `at` and `dot` are words of prose too.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|eu|uk|us|ca|au|de|fr|es|it|nl|ch|at|be|pl|ru|jp|cn|in|br|mx"
+ENDINGS += "|online|site|shop|store|tech|xyz|cloud|club|blog|live|news|pro|name|email|me|tv|se|no|dk|fi|ie|pt|gr|cz|nz|za|kr"
 SPOKEN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(\sat\s)[A-Za-z0-9-]{1,63}"
-    rf"((?:\sdot\s[A-Za-z0-9-]{{1,63}}){{0,8}}\sdot\s(?:{ENDINGS}))(?![A-Za-z0-9-])",
+    r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})(\sat\s|@)[A-Za-z0-9-]{1,63}+"
+    r"((?:(?:\sdot\s|\.)[A-Za-z0-9-]{1,63}+(?![A-Za-z0-9-])){1,9}+)",
     re.I,
 )
+SPOKEN_LABEL = re.compile(r"(\sdot\s|\.)([A-Za-z0-9-]+)", re.I)
+SPOKEN_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\sdot\s|\.)[0-9]{1,3}){3}(?![0-9])", re.I)
 SPOKEN_DOT = re.compile(r"\sdot\s", re.I)
+# On lower case: where an address with a spoken `at` could be.
+SPOKEN_AT = re.compile(r"at\s[a-z0-9-]{1,63}+(?:\.[a-z0-9-]|\sdot\s)")
+ENDING = re.compile(ENDINGS, re.I)
+# Words that stand before `at example.com` in prose; names of mailboxes are not among them.
+PROSE = frozenset(
+    "a an the me us it is are was were be been him her them you i we he she they and or not but that this so as of to in on look looked "
+    "looking here there found available online hosted located visit more live only posted published buy sold read see seen start page "
+    "site website blog arrive arrived stay stayed work works worked meet met stop".split()
+)
 _digit = "(?:" + "|".join(DIGIT_WORDS) + ")"
 DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:plus[\s,-]{{1,3}}|\+\s?)?{_digit}(?:[\s,-]{{1,3}}(?:{_digit}|[0-9]+)){{2,}}(?![A-Za-z])", re.I)
+# On lower case: two items next to each other, as any run has.
+DIGIT_PAIR = re.compile("(?:" + "|".join(DIGIT_WORDS) + r")[\s,-]{1,3}(?:[0-9]|" + "|".join(DIGIT_WORDS) + ")")
 DIGIT_ITEM = re.compile(rf"plus|\+|{_digit}|[0-9]+", re.I)
 
 Rewrite = tuple[int, int, str]
@@ -148,15 +163,32 @@ def character_rewrites(text: str) -> list[Rewrite]:
     return [(m.start(), m.end(), table[m[0]]) for m in pattern.finditer(text)]
 
 
-def disguise_rewrites(text: str) -> list[Rewrite]:
-    out = [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
-    taken = {s for s, _, _ in out}
+def bracket_rewrites(text: str) -> list[Rewrite]:
+    return [(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(text)]
+
+
+def spoken_rewrites(text: str, new: bytearray) -> list[Rewrite]:
+    """`new` marks characters that were rewritten before: such a dot shows that an address is meant, as @ does."""
+    out = []
+    for m in SPOKEN.finditer(text):
+        labels = list(SPOKEN_LABEL.finditer(text, m.start(3), m.end()))
+        shown = m[2] == "@" or any(new[x.start(1)] for x in labels)
+        known = [i for i, x in enumerate(labels, 1) if ENDING.fullmatch(x[2])]
+        # Up to the last known ending, as prose can go on with ` dot `.
+        labels = labels[: known[-1]] if known else labels if shown else []
+        dots = [(x.start(1), x.end(1), ".") for x in labels if x[1] != "."]
+        if m[2] != "@" and labels and not dots:
+            # With plain dots alone, `at` is often prose, and so is a sentence that starts without a blank.
+            last = labels[-1][2]
+            if m[1].lower() in PROSE or (last[:1].isupper() and not last.isupper()):
+                continue
+        if labels and m[2] != "@":
+            out.append((m.start(2), m.end(2), "@"))
+        out += dots
     if SPOKEN_DOT.search(text):
-        for m in SPOKEN.finditer(text):
-            if m.start(1) not in taken:
-                out.append((m.start(1), m.end(1), "@"))
-                out += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in SPOKEN_DOT.finditer(m[2])]
-    return sorted(out)
+        for m in SPOKEN_IP.finditer(text):
+            out += [(m.start() + d.start(), m.start() + d.end(), ".") for d in SPOKEN_DOT.finditer(m[0])]
+    return sorted(set(out))
 
 
 def digit_rewrites(text: str) -> list[Rewrite]:
@@ -208,13 +240,17 @@ def disguised(text: str) -> bool:
     low = text.lower()
     if ("dot" in low or "." in low) and (" dot " in low or BRACKETED.search(text) or SPOKEN_DOT.search(text)):
         return True
-    return sum(low.count(w) for w in DIGIT_WORDS) >= 3 and DIGIT_RUN.search(text) is not None
+    if "." in low and SPOKEN_AT.search(low):
+        return True
+    return DIGIT_PAIR.search(low) is not None and DIGIT_RUN.search(text) is not None
 
 
 def transduce(text: str) -> Mapped:
     out = Mapped(text)
-    for step in (character_rewrites, disguise_rewrites, digit_rewrites):
-        out.apply(step(out.text))
+    out.apply(character_rewrites(out.text))
+    out.apply(bracket_rewrites(out.text))
+    out.apply(spoken_rewrites(out.text, out.new))
+    out.apply(digit_rewrites(out.text))
     return out
 
 

@@ -67,6 +67,19 @@ def test_hidden_finds_that_hold_a_plain_one_are_added():
     assert spans("jоe and joe@example.com") == []
 
 
+def test_mixed_disguises():
+    for text in (
+        "john (at) example dot com", "john at example[.]com", "john at example.com", "john@example dot com",
+        "john at example dot online", "john [at] example dot museum", "john at example[.]museum", "j@mail.example dot co dot uk",
+    ):
+        assert spans(f"to {text} now") == [(text, "email")], text
+    assert spans("ip 192 dot 168 dot 1 dot 1 up") == [("192 dot 168 dot 1 dot 1", "ip")]
+    assert spans("ip 192[.]168 dot 1.1!") == [("192[.]168 dot 1.1", "ip")]
+    assert spans("call +1 five 55 0199 1234 now") == [("+1 five 55 0199 1234", "phone")]
+    for text in ("look at example.com now", "he arrived at noon.In the end", "joe@example.com dot the i", "ip 1 dot 2 dot 3 dot 400"):
+        assert spans(text) == [], text
+
+
 def test_prose_is_left_alone():
     for text in ("look at the dot on the map", "one two many", "at (dot) x", "éè ñ café at noon. dot"):
         assert spans(text) == []
@@ -77,6 +90,11 @@ def test_long_runs_take_linear_time():
         hidden(text, plain(text))
 
 
+def test_long_spoken_runs_take_linear_time():
+    for text in ("a at b." * 60_000, "a@b dot c " * 40_000, "1 dot " * 60_000, "a@" * 200_000, "one 1 " * 60_000, "at a." * 80_000):
+        hidden(text, plain(text))
+
+
 def test_edges_and_masking(spark):
     assert find_pii(edge_docs(spark)).count() == 10
     assert find_pii(empty_docs(spark)).count() == 0
