@@ -4,7 +4,11 @@ A line's path in the tree is its token count and its first `depth` tokens; token
 fields (with digits, addresses) are `<*>` from the start. At a leaf, lines that are equal after
 this masking are one constant template. The other lines of a leaf are generalised: a position
 keeps the token that half of the leaf's documents have there, and is variable otherwise. A line belongs to
-that template if `similar` of its constant tokens agree. Templates found in `min_docs` documents or
+that template if `similar` of its constant tokens agree. What is left of a leaf can hold any number of further
+templates, of unlike sizes: for `min_docs` documents and each doubling of that, the tokens that so many of the
+leaf's documents have at their position are constant, and lines with the same constants are one template. A
+family of n documents so shows at the threshold between n / 2 and n, where fields vary and its own words do not.
+Its lines must agree in all constants. Templates found in `min_docs` documents or
 more are recurring; their lines go from all documents but the one with the smallest id. How many documents
 a constant template needs depends on its length: lines of `long_tokens` tokens are passages, which `long_docs`
 documents do not share by chance; lines under `min_tokens` need `short_docs`, and are never generalised.
@@ -133,10 +137,38 @@ def recurring_lines(
         & (agree >= F.ceil(F.size("template") * similar))
     )
     matched = written(matched.select("id", "h", "line", "leaf"), "line-matched")
-    variable = matched.join(_recurring(matched, "leaf", F.lit(min_docs)), "leaf").filter(F.col("id") != F.col("first"))
+    matched = written(matched.join(_recurring(matched, "leaf", F.lit(min_docs)), "leaf").select("id", "h", "line", "first"), "line-variable")
+    others = varied.join(matched.select("id", "h", "line"), ["id", "h", "line"], "left_anti")
+    further = _further_templates(written(others, "line-others"), min_docs, constants)
+    variable = matched.unionByName(further).filter(F.col("id") != F.col("first"))
     return drop.unionByName(variable.select("id", "h", "line"))
 
 
+def _further_templates(lines: DataFrame, min_docs: int, constants: int) -> DataFrame:
+    """id, h, line, first of the lines that share their frequent tokens with lines of min_docs documents.
+
+    Constants at a higher threshold are among those at a lower one, so templates nest, and the
+    smallest id of the widest one keeps its line in all.
+    """
+    tokens = lines.select("id", "h", "line", "leaf", F.size("t").alias("n"), F.posexplode("t").alias("pos", "token"))
+    frequent = tokens.select("leaf", "pos", "token", "id").distinct().groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("docs"))
+    frequent = frequent.filter(F.col("docs") >= min_docs)
+    needed = F.greatest(F.lit(constants), F.ceil(F.col("n") * 0.6))
+    known = (
+        tokens.join(frequent, ["leaf", "pos", "token"])
+        .groupBy("id", "h", "line", "leaf", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "token", "docs"))).alias("known"))
+        .filter(F.size("known") >= needed)
+    )
+    doublings = F.floor(F.log2(F.array_max(F.transform("known", lambda x: x["docs"])) / min_docs)).cast("int")
+    at_least = F.transform(
+        F.sequence(F.lit(0), doublings), lambda k: F.filter("known", lambda x: x["docs"] >= F.pow(F.lit(2), k) * min_docs)
+    )
+    keys = known.withColumn("own", F.explode(F.array_distinct(at_least))).filter(F.size("own") >= needed)
+    keys = written(keys.select("id", "h", "line", F.xxhash64("leaf", "own").alias("key")), "line-further")
+    return keys.join(_recurring(keys, "key", F.lit(min_docs)), "key").select("id", "h", "line", "first")
+
+
 def drop_recurring_lines(docs: DataFrame, **settings) -> DataFrame:
     """The same rows and columns, `text` without the lines of recurring templates.
 

@@ -74,6 +74,21 @@ def test_long_passages_and_frequent_short_lines_are_dropped(spark, tmp_path):
     assert [got[i].n_chars_left for i in range(62, 66)] == [len(texts[62])] * 4
 
 
+def test_a_leaf_holds_several_templates(spark):
+    names = [chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(60)]
+    kinds = [
+        "note from the {} office about lost keys found today",
+        "note from the {} school about new books bought monday",
+        "note from the {} garden about old trees felled again",
+    ]
+    prose = [" ".join(["note", "from", "the"] + [f"{n}{chr(97 + k)}" for k in range(7)]) for n in names]
+    # Every name occurs in four lines of each kind, so it is frequent in the leaf itself.
+    texts = [k.format(names[i % 10]) for k in kinds for i in range(40)] + prose
+    got = {r.doc_id: r.text for r in drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert sorted(i for i, t in got.items() if i < 120 and t) == [0, 40, 80]
+    assert all(got[120 + i] == t for i, t in enumerate(prose))
+
+
 def test_edges(spark):
     out = drop_recurring_lines(edge_docs(spark), min_docs=2)
     assert out.columns == edge_docs(spark).columns and out.count() == 10
