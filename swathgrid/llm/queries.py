@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.llm import chat, exact_dedup, jaccard, line_dedup, lm, packing, pieces, pii, quality, topk
+from swathgrid.llm import chat, exact_dedup, jaccard, line_dedup, lm, packing, pieces, pii, quality, resampling, topk
 from swathgrid.llm.common import crc_mod, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,9 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digest(chat.chat_windows(conversations.unionByName(extra)))
+
+
+@query("op11_resampling")
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
