@@ -37,3 +37,11 @@ def written(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame
     path = scratch(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession, path: str) -> None:
+    """Remove a table that this library wrote under the shared folder and that nothing reads any more."""
+    if not path.startswith(checkpoint_root(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} does not lie in the shared folder")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
