@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.llm import chat, exact_dedup, jaccard, line_dedup, lm, packing, pieces, pii, quality, resampling, topk
+from swathgrid.llm import chat, codes, exact_dedup, jaccard, line_dedup, lm, packing, pieces, pii, quality, resampling, topk
 from swathgrid.llm.common import crc_mod, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,55 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = resampling.importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    steps = [
+        """
+WITH kept AS MATERIALIZED (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+part AS MATERIALIZED (
+    SELECT vec_id, label, p, v[len(v) // 4 * p + 1 : len(v) // 4 * (p + 1)] AS x FROM kept, range(4) AS r(p)
+),
+book0 AS MATERIALIZED (
+    SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+    FROM part QUALIFY e < 256
+)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+near{r} AS MATERIALIZED (
+    SELECT vec_id, any_value(label) AS label, p, any_value(x) AS x,
+           min(256 * CAST(list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS BIGINT) + e) AS best
+    FROM part JOIN book{r} USING (p) GROUP BY vec_id, p
+)""")
+        if r < rounds:
+            steps.append(f"""
+mean{r} AS (
+    SELECT p, e, list(m ORDER BY i) AS c
+    FROM (SELECT p, best % 256 AS e, i, floor(sum(x[i]) / count(*)) AS m
+          FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS i FROM near{r}) GROUP BY ALL)
+    GROUP BY p, e
+),
+book{r + 1} AS MATERIALIZED (
+    SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON m.p = b.p AND m.e = b.e
+)""")
+    return ",".join(steps) + f""",
+coded AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', best % 256), '' ORDER BY p) AS code,
+           CAST(sum(best // 256) AS BIGINT) AS error
+    FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, i))
+        FROM (SELECT p, e, c, unnest(range(1, len(c) + 1)) AS i FROM book{rounds})) AS codebooks_sha256
+FROM coded
+"""
+
+
+@query("op12_codes", _codes_sql())
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))
