@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathgrid.llm import chat, codes, exact_dedup, jaccard, line_dedup, lm, packing, pieces, pii, quality, resampling, topk
+from swathgrid.llm import chat, codes, exact_dedup, jaccard, line_dedup, lm, minhash, packing, pieces, pii, quality, resampling, topk
 from swathgrid.llm.common import crc_mod, table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -228,3 +228,8 @@ FROM coded
 @query("op12_codes", _codes_sql())
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_minhash")
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicate_classes(table(spark, sf_dir, "documents"), n=4, num=80, den=100)
