@@ -14,75 +14,28 @@ More empty segments only claim more, so sets that share e empty ones share e cla
 which differs in exactly one element. A set with fewer such segments than empty ones is also indexed under
 pairs of its empty segments, as a subset of segments that both have.
 
-Candidates are verified exactly. Copies of one set are one node. Components need no pair that lies in one component
-already: rounds compare the members of an index key with a few of them, then more, and
-end when every key is of one component or has had all its pairs compared. Before the last round, which compares all
-pairs of the keys left, elements that only one of the remaining sets has bound what a set can share with any other,
-which leaves out sets that cannot link. Each set also has a parity sketch: bit i tells whether an odd number of its
-elements hash to i. Two sketches differ in no more bits than the sets differ in elements, so the
-join on a key only makes the pairs whose sketches are near enough. Nothing is capped.
+Copies of one set are one node. Candidates are compared and confirmed exactly, see `links`; nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathgrid.llm.common import id_and_text, slices, words
-from swathgrid.llm.graph import components
+from swathgrid.llm.common import id_and_text, slices
+from swathgrid.llm.links import classes, linked_nodes, one_key_a_group
+from swathgrid.llm.shingles import Shingles, U, mix
 from swathgrid.sources.workspace import written
 
-U = np.uint64
 EXACT, DELETED, EMPTIES = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 CHUNK_BYTES = 4 << 20
 HOT = 32  # documents of a chunk under one key, beyond which they travel as rows
-#: Pivots of a key in each round; the last round compares all.
-PIVOTS = (1, 128, 1 << 62)
-SKETCH = 8  # words of 64 bits
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambler of 64-bit words."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class Shingles:
-    """Sorted distinct shingle hashes of texts."""
-
-    def __init__(self, n: int, most: int = 200_000):
-        self.n, self.most, self.known, self.hashes = n, most, {}, []
-
-    def sets(self, texts: Iterable[str]) -> list[np.ndarray]:
-        if len(self.known) > self.most:
-            self.known.clear()
-            self.hashes.clear()
-        known, hashes, out = self.known, self.hashes, []
-        for text in texts:
-            ws = words(text)
-            for w in set(ws).difference(known):
-                known[w] = len(hashes)
-                hashes.append(xxhash.xxh64_intdigest(w))
-            out.append(np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)))
-        table = np.array(hashes, U)
-        return [self._set(table[ids]) for ids in out]
-
-    def _set(self, w: np.ndarray) -> np.ndarray:
-        if not len(w):
-            return w
-        n = min(self.n, len(w))
-        h = np.full(len(w) - n + 1, n, U)
-        for i in range(n):
-            h = mix(h + w[i : len(w) - n + 1 + i])
-        return np.unique(h)
 
 
 class Bands:
@@ -226,34 +179,6 @@ def _shards(docs: DataFrame) -> int:
     return max(32, 4 * docs.rdd.getNumPartitions())
 
 
-def _alone(wanted: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, alone: how many of the set's elements no other of the wanted sets has."""
-    elements = wanted.join(sets, "node").select("node", F.explode("s").alias("x"))
-    once = elements.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1")
-    return once.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-
-
-def parities(s: np.ndarray) -> np.ndarray:
-    """The set's parity sketch as SKETCH signed words."""
-    odd = np.bincount((s % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _near(num: int, den: int) -> Column:
-    """Whether the sketches of a row's two sets allow a link: their sets differ in so many elements at least."""
-    differ = reduce(Column.__add__, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(SKETCH)))
-    return differ.cast("long") * (num + den) <= (F.col("n") + F.col("p_n")) * (den - num)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs a, b those whose sets link."""
-    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    union = F.size("s_a") + F.size("s_b") - shared
-    return both.filter(shared * den >= union * num).select("a", "b")
-
-
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -279,106 +204,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         ),
         "jaccard-nodes",
     )
-    named = facts.filter("print IS NOT NULL").join(nodes.select("print", "node"), "print").select("uid", "node", "n")
-    members = written(
-        found.filter("key IS NOT NULL").select("key", "uid").join(named, "uid").select("key", "node", "n").distinct(),
-        "jaccard-members",
-    )
-    # Near copies share many keys with the same members; one key of those is enough.
-    alike = ["g", "x1", "x2"]
-    groups = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("g"),
-        F.bit_xor(F.xxhash64("node")).alias("x1"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
-    )
-    groups = groups.filter("g > 1").groupBy(*alike).agg(F.min("key").alias("key")).select("key", "g")
-    members = written(members.join(groups, "key"), "jaccard-members")
-    wanted = members.select("node").distinct().join(nodes, "node").select("node", "print", F.col("least").alias("doc_id"))
-    sets = written(_sets(base, wanted, n), "jaccard-sets")
-    links, seen, labels = [], [], None
-    for r, pivots in enumerate(PIVOTS):
-        left = members.withColumn("comp", F.col("node"))
-        if labels is not None:
-            left = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if r:
-            left = left.filter(F.col("g") > max(2, PIVOTS[r - 1]))
-        sketches = sets.select("node", "bits")
-        left = written(left.withColumn("order", F.xxhash64("node")).join(sketches, "node"), "jaccard-round")
-        about = (
-            left.groupBy("key")
-            .agg(F.min(F.struct("order", "node", "n", "comp", "bits")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-            .filter("low < high")
-            .select("key", "lead")
-        )
-        left = left.join(about, "key")
-        if not r:
-            # The first round needs one pivot a key.
-            pairs = left.select("node", "n", "comp", "bits", F.col("lead.node").alias("p"), *(F.col(f"lead.{c}").alias(f"p_{c}") for c in ("n", "comp", "bits")))
-            pairs = pairs.withColumn("most", F.col("n")).withColumn("p_most", F.col("p_n"))
-        else:
-            left = left.withColumn("most", F.col("n"))
-            if pivots == PIVOTS[-1]:
-                alone = written(_alone(left.select("node").distinct(), sets), "jaccard-alone")
-                left = left.join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-                # A partner has num / den of the set's size at least, and they share that many of its elements.
-                left = left.filter(F.col("most") * den >= F.col("n") * num)
-            left = written(left, "jaccard-round")
-            chosen = F.pmod("order", F.lit(1 << 20)) < F.lit(float(min(pivots, 1 << 40)) * (1 << 20)) / F.col("g")
-            lead = left.filter((F.col("order") == F.col("lead.order")) | chosen).select(
-                "key", *(F.col(c).alias(f"p_{c}") for c in ("comp", "n", "most", "bits")), F.col("node").alias("p")
-            )
-            pairs = left.join(lead, "key")
-        fits = F.least("most", "p_most") * (num + den) >= (F.col("n") + F.col("p_n")) * num
-        pairs = (
-            pairs.filter((F.col("comp") != F.col("p_comp")) & fits & _near(num, den))
-            .select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-            .distinct()
-        )
-        for old in seen:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = written(pairs, "jaccard-pairs")
-        if pairs.isEmpty():
-            if r and left.isEmpty():
-                break
-            continue
-        seen.append(pairs)
-        links.append(written(_verified(pairs, sets, num, den), "jaccard-links"))
-        labels = components(reduce(DataFrame.unionByName, links))
-    comps = nodes
-    if labels is not None:
-        comps = nodes.join(labels, "node", "left")
-        least = comps.groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("least").alias("component_id"))
-        comps = comps.withColumn("comp", F.coalesce("comp", "node")).join(least, "comp")
-    else:
-        comps = comps.withColumn("component_id", F.col("least"))
-    comps = written(comps.select("print", "component_id"), "jaccard-components")
-    return facts.join(comps, "print", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
-
-
-def _sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, s (shingle hashes), bits (parity sketch) of the wanted nodes; only their documents are read into sets."""
-    nothing = -(2**63)
-    ids = wanted.select(F.coalesce("doc_id", F.lit(nothing)).alias("id")).distinct()
-    own = base.select(F.coalesce("doc_id", F.lit(nothing)).alias("id"), "text").join(ids, "id", "left_semi")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(n)
-        for batch in slices(batches, "text", CHUNK_BYTES):
-            sets = make.sets(batch.column("text").to_pylist())
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            ends = np.cumsum([0, *map(len, sets)])
-            flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
-            words_of = np.concatenate([np.zeros(0, np.int64), *map(parities, sets)])
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), pa.array(words_of))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), bits],
-                names=["print", "s", "bits"],
-            )
-
-    made = own.mapInArrow(run, "print binary, s array<long>, bits array<long>")
-    return made.join(wanted.select("node", "print"), "print").groupBy("node").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
+    named = facts.filter("print IS NOT NULL").join(nodes.select("print", "node"), "print").select("uid", "node")
+    keys = found.filter("key IS NOT NULL").select("key", "uid").join(named, "uid").select("key", "node").distinct()
+    members = one_key_a_group(written(keys, "jaccard-keys"))
+    return classes(facts, nodes, linked_nodes(base, nodes, members, n, num, den))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -9,33 +9,27 @@ the defaults.
 A table key can only be shared if both its halves are. So the short keys are counted first, by an aggregate that combines before its
 shuffle, and table keys are made of shared halves alone, which leaves out nearly all texts that resemble no other.
 
-Texts of equal shingle sets are one node. Every table key compares its members with the member that meets most others,
-then, as long as its members lie in several components, those outside its largest component with all
-members of other components. So all pairs that meet have been compared or lie in one component already, and
-a group of near copies costs its pairs only where it falls apart. Pairs are dropped by sizes and parity sketches
-where these rule out a link, and confirmed on full sets otherwise. Nothing is capped.
+Texts of equal shingle sets are one node. Candidates are compared and confirmed on full sets, see `links`; nothing is capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathgrid.llm.common import id_and_text, slices
-from swathgrid.llm.graph import components
-from swathgrid.llm.jaccard import SKETCH, Shingles, mix, parities
+from swathgrid.llm.links import classes, linked_nodes, one_key_a_group
+from swathgrid.llm.shingles import Shingles, U, mix
 from swathgrid.sources.workspace import written
 
-U = np.uint64
 CHUNK_BYTES = 2 << 20
-FACTS = "uid long, doc_id long, n long, print binary, halves binary, bits array<long>"
+FACTS = "uid long, doc_id long, n long, print binary, halves binary"
 
 
 class Halves:
@@ -74,15 +68,15 @@ def set_facts(n: int, side: int, width: int):
             if full:
                 starts = np.cumsum([0, *map(len, full[:-1])])
                 keys = iter(halves.of(np.concatenate(full), starts))
-            rows = [(xxhash.xxh3_128_digest(s.tobytes()), next(keys).tobytes(), parities(s)) if len(s) else (None, None, None) for s in sets]
+            rows = [(xxhash.xxh3_128_digest(s.tobytes()), next(keys).tobytes()) if len(s) else (None, None) for s in sets]
             columns = [
                 pa.array(task + seen + np.arange(len(sets))),
                 batch.column("doc_id"),
                 pa.array(list(map(len, sets)), pa.int64()),
-                *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.list_(pa.int64())))),
+                *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)),
             ]
             seen += len(sets)
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "print", "halves", "bits"])
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "print", "halves"])
 
     return run
 
@@ -134,76 +128,7 @@ def table_members(nodes: DataFrame, side: int) -> DataFrame:
     own = own.groupBy("node").agg(F.collect_list("slot").alias("slots"), F.collect_list("half").alias("halves"))
     make = _table_keys(side)
     keys = written(own.mapInArrow(lambda batches: _grouped(make(batches)), "key long, node long"), "minhash-keys")
-    same = ["g", "x1", "x2"]
-    groups = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("g"),
-        F.bit_xor(F.xxhash64("node")).alias("x1"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
-    )
-    groups = written(groups.filter("g > 1").groupBy(*same).agg(F.min("key").alias("key")).select("key", "g"), "minhash-groups")
-    return written(keys.join(groups, "key"), "minhash-members")
-
-
-def _may_link(num: int, den: int) -> Column:
-    """Whether sizes and parity sketches of a pair allow a link; sketches differ in no more bits than sets do in elements."""
-    differ = reduce(Column.__add__, (F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(SKETCH)))
-    both = F.col("n") + F.col("p_n")
-    return (F.least("n", "p_n") * (num + den) >= both * num) & (differ.cast("long") * (num + den) <= both * (den - num))
-
-
-def _sets_of(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, s: the shingle hashes of the wanted nodes, made again from one text of each."""
-    nothing = -(2**63)
-    ids = wanted.select(F.coalesce("least", F.lit(nothing)).alias("id")).distinct()
-    own = base.select(F.coalesce("doc_id", F.lit(nothing)).alias("id"), "text").join(ids, "id", "left_semi")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(n)
-        for batch in slices(batches, "text", CHUNK_BYTES):
-            sets = make.sets(batch.column("text").to_pylist())
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["print", "s"])
-
-    made = own.mapInArrow(run, "print binary, s array<long>").join(wanted.select("node", "print"), "print")
-    return made.groupBy("node").agg(F.first("s").alias("s"))  # rows that repeat an id
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
-    union = F.size("s_a") + F.size("s_b") - shared
-    return both.filter(shared * den >= union * num).select("a", "b")
-
-
-def _as_pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-
-
-def _first_round(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Members of a key with the one of them that meets most others."""
-    meets = members.groupBy("node").agg(F.sum("g").alias("meets"))
-    members = members.join(meets, "node")
-    lead = members.groupBy("key").agg(
-        F.max(F.struct("meets", F.xxhash64("node").alias("h"), F.col("node").alias("p"), F.col("n").alias("p_n"), F.col("bits").alias("p_bits"))).alias("lead")
-    )
-    lead = lead.select("key", "lead.p", "lead.p_n", "lead.p_bits")
-    return _as_pairs(members.join(lead, "key").filter((F.col("node") != F.col("p")) & _may_link(num, den)))
-
-
-def _last_round(members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
-    """Members outside a key's largest component with its members of other components."""
-    own = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    main = written(main.filter("comps > 1").select("key", "main"), "minhash-open")
-    own = written(own.join(main, "key"), "minhash-open-members")
-    outside = own.filter("comp != main").select("key", *(F.col(c).alias(f"p_{c}") for c in ("comp", "n", "bits")), F.col("node").alias("p"))
-    # Two members outside the largest component meet once only.
-    once = (F.col("comp") == F.col("main")) | (F.col("node") < F.col("p"))
-    return _as_pairs(own.join(outside, (own["key"] == outside["key"]) & (F.col("comp") != F.col("p_comp")) & once & _may_link(num, den)))
+    return one_key_a_group(keys)
 
 
 def near_duplicate_classes(
@@ -220,28 +145,9 @@ def near_duplicate_classes(
     base = id_and_text(docs)
     facts = written(base.mapInArrow(set_facts(n, side, width), FACTS), "minhash-facts")
     nodes = facts.filter("print IS NOT NULL").groupBy("print").agg(
-        F.min("uid").alias("node"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "halves", "bits"))
+        F.min("uid").alias("node"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "halves"))
     )
     nodes = written(nodes, "minhash-nodes")
-    members = table_members(nodes, side)
-    met = written(members.select("node").distinct().join(nodes.select("node", "n", "bits", "print", "least"), "node"), "minhash-met")
-    members = written(members.join(met.select("node", "n", "bits"), "node"), "minhash-members")
-    pairs = written(_first_round(members, num, den), "minhash-pairs")
-    links = labels = None
-    if not pairs.isEmpty():
-        sets = written(_sets_of(base, met.select("node", "print", "least"), n), "minhash-sets")
-        links = written(_linked(pairs, sets, num, den), "minhash-links")
-        labels = components(links)
-    else:
-        sets, labels = None, nodes.limit(0).select("node", F.col("node").alias("comp"))
-    more = written(_last_round(members, labels, num, den), "minhash-pairs")
-    if not more.isEmpty():
-        sets = sets if sets is not None else written(_sets_of(base, met.select("node", "print", "least"), n), "minhash-sets")
-        more = written(_linked(more.join(pairs, ["a", "b"], "left_anti"), sets, num, den), "minhash-links")
-        labels = components(more if links is None else links.unionByName(more))
-    comps = nodes.select("print", "node", "least").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = comps.groupBy("comp").agg(F.min("least").alias("component_id"))
-    comps = written(comps.join(least, "comp").select("print", "component_id"), "minhash-components")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = facts.select("print", "doc_id", "n").join(comps, "print", "left").withColumn("component_id", own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    labels = linked_nodes(base, nodes, table_members(nodes, side), n, num, den)
+    found = classes(facts.select("print", "doc_id", "n"), nodes, labels)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
