@@ -166,6 +166,9 @@ ENVI_TYPES = {
 # Known raster shapes (width, height) for files whose size disagrees with the label.
 FALLBACK_SHAPES = [(46080, 23040), (11520, 5760)]
 
+# Sample types of labels that mean the most significant byte first, beside all that name MSB.
+BIG_ENDIAN_TYPES = ["IEEE_REAL", "SUN_REAL"]
+
 # Column names tried, in order, when a crater list is read.
 CRATER_COLUMNS = {
     "lat": ["LAT_CIRC_IMG", "LAT_ELLI_IMG", "Lat", "lat", "LATITUDE"],

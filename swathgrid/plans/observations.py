@@ -9,10 +9,11 @@ from swathgrid.operators import mosaic as M
 from swathgrid.operators.ranking import quantiles
 from swathgrid.operators.tiles import stack_columns
 from swathgrid.plans.files import write_cubes, write_flat_rasters
-from swathgrid.plans.fixtures import OBS_GRID, dem_grid, fixture, table
+from swathgrid.plans.fixtures import LAYER_CHANNELS, LAYERS_SQL, OBS_GRID, dem_grid, fixture, table
 from swathgrid.plans.registry import query
 from swathgrid.sources import binary
 from swathgrid.sources.workspace import scratch, written
+from swathgrid.sources.writers import write_rasters
 from swathgrid.streaming import jobs
 
 BANDS = ["b1", "b2"]
@@ -323,6 +324,44 @@ def _as_double(df, *columns):
     return df.withColumns({c: F.round(F.col(c).cast("double"), 3) for c in columns})
 
 
+@query(
+    "strip_daytime_files",
+    "F5 S3",
+    f"""SELECT s.strip_id, CAST(count(*) AS BIGINT) AS n_samples,
+    CAST(count(*) FILTER (WHERE incidence > 0 AND incidence < 80) AS BIGINT) AS n_valid,
+    count(*) FILTER (WHERE incidence > 0 AND incidence < 80) > 0 AS is_daytime
+    FROM ({STRIPS_SQL}) s JOIN (SELECT strip_id, max(line) + 1 AS lines FROM ({STRIPS_SQL}) a GROUP BY strip_id) n
+      ON s.strip_id = n.strip_id
+    WHERE line = 0 OR line = CAST(FLOOR(lines / 2e0) AS INT) OR line = lines - 1 GROUP BY s.strip_id""",
+)
+def strip_daytime_files(spark, sf):
+    """The daytime filter on cube files: the scan reads one band of three lines of each."""
+    binary.register(spark)
+    manifest, path = cube_manifest(spark, sf), scratch(spark, "manifest")
+    manifest.write.parquet(path)
+    cubes = spark.read.format("envi_bil").options(manifest=path, select="2", pushdown=True).load().where("sampled")
+    lines = cubes.select(F.col("file").alias("strip_id"), "line", F.col("bands")[0].cast("double").alias("incidence"))
+    out = M.daylight(lines, spark.read.parquet(path).select("strip_id", "lines"))
+    return out.select("strip_id", "n_samples", "n_valid", "is_daytime")
+
+
+@query(
+    "cube_window",
+    "S3 S14",
+    f"""SELECT strip_id, line, sample, round(phase, 3) AS phase, round(lat, 3) AS lat FROM ({STRIPS_SQL}) s
+    WHERE strip_id IN ('0', '1') AND line >= 2 AND line < 7 AND (sample BETWEEN 10 AND 19 OR sample = 30)""",
+)
+def cube_window(spark, sf):
+    """Two bands of a window of lines and samples from two of the files."""
+    binary.register(spark)
+    path = scratch(spark, "manifest")
+    cube_manifest(spark, sf).write.parquet(path)
+    window = {"file": ["0", "1"], "line": [(2, 7)], "sample": [(10, 20), (30, 31)]}
+    hit = binary.scan(spark, "envi_bil", window, manifest=path, select="4,1", linesPerTask=2)
+    bands = [F.col("bands")[i].alias(n) for i, n in enumerate(("phase", "lat"))]
+    return _as_double(hit.select(F.col("file").alias("strip_id"), "line", "sample", *bands), "phase", "lat")
+
+
 FLAT_ROWS = 50
 
 
@@ -356,6 +395,26 @@ def flat_raster_labels(spark, sf):
     return _as_double(cells.withColumn("row", _part_row("strip_id")).drop("strip_id"), "value")
 
 
+@query(
+    "raster_writer",
+    "K2 K3 S1",
+    f"""SELECT channel, row, col, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 3) AS value FROM ({LAYERS_SQL}) l
+    WHERE channel IN ('elevation', 'lpgrs_feo', 'mystery') AND row BETWEEN 3 AND 9""",
+)
+def raster_writer(spark, sf):
+    """All layers through the raster sink, then rows of three of them through the scan."""
+    binary.register(spark)
+    path = scratch(spark, "layers").removeprefix("file:")
+    grid = dem_grid(spark, sf)
+    layers = stack_columns(fixture(spark, sf, "rasters"), {c: c for c in LAYER_CHANNELS})
+    write_rasters(layers, path, grid.width, grid.height, rows_per_file=4)
+    parts = [f"{c}/part-{i}.img" for c in ("elevation", "lpgrs_feo", "mystery") for i in range(3)]
+    raster = binary.scan(spark, "flat_raster", {"file": parts}, path=path)
+    row = (F.regexp_extract("file", r"part-(\d+)", 1).cast("int") * 4 + F.col("row")).alias("row")
+    cells = raster.select(F.regexp_extract("file", "^[^/]+", 0).alias("channel"), row, "col", "value")
+    return _as_double(cells.where(F.col("row").between(3, 9)), "value")
+
+
 @query(
     "strip_product",
     "C12 K4",
