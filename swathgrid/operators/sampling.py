@@ -50,11 +50,14 @@ def uniform_sample(df: DataFrame, key: str, k: int, seed=42) -> DataFrame:
 
 
 def draw_with_replacement(df: DataFrame, key: str, n_rows: int, n: int, seed=123) -> DataFrame:
-    """n draws of keys 0..n_rows-1, each draw joined to its row."""
+    """n draws among the ``n_rows`` keys of ``df``, each draw joined to its row; keys need not be dense."""
     spark = df.sparkSession
-    pick = F.pmod(hash_int(seed, F.col("draw")), F.lit(n_rows))
-    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn(key, pick)
-    return draws.join(df, key)
+    draw = F.col("draw")
+    # 32 bits of the digest are enough for 2^31 rows; beyond, 60 are taken.
+    wide = F.conv(F.substring(digest(seed, draw), 1, 15), 16, 10).cast("bigint")
+    pick = F.pmod(hash_int(seed, draw) if n_rows <= 1 << 31 else wide, F.lit(n_rows))
+    draws = spark.range(n).withColumnRenamed("id", "draw").withColumn("position", pick)
+    return draws.join(dense_positions(df, key=key), "position").drop("position").join(df, key)
 
 
 def evenly_spaced(ranked: DataFrame, position: str, n_rows: int, k: int = 100) -> DataFrame:
@@ -124,29 +127,100 @@ def anchor_groups(availability: DataFrame, prob: float, seed=42, anchor_ratio=0.
 # ---- crops ---------------------------------------------------------------------------------
 
 
-def valid_prefix_counts(cells: DataFrame, grid: Grid, value: str = "value") -> DataFrame:
-    """Number of valid cells above and left of each grid cell, itself included.
+def prefix_sums(counts: DataFrame, width: int, height: int) -> DataFrame:
+    """(row, col, n) to the sum of n above and left of each place of a grid, itself included: (row, col, upto).
 
-    Valid cells are laid over an empty grid; a range frame gives both the same sum, and the
-    grid's own rows are kept. Rows and columns are as long as the grid is wide and high.
+    Counts are laid over an empty grid; a range frame gives both the same sum, and the
+    grid's own rows are kept. Meant for grids of tiles, which have a row for some thousand cells.
     """
-    spark, i = cells.sparkSession, F.col("id")
-    empty = spark.range(grid.width * grid.height).select(
-        F.floor(i / grid.width).cast("int").alias("row"),
-        (i % grid.width).cast("int").alias("col"),
-        F.lit(0).alias("ok"),
+    i = F.col("id")
+    empty = counts.sparkSession.range(width * height).select(
+        F.floor(i / width).cast("int").alias("row"), (i % width).cast("int").alias("col"), F.lit(0).cast("bigint").alias("n")
     )
-    valid = cells.where(F.col(value).isNotNull()).select("row", "col", F.lit(1).alias("ok"))
+    known = counts.select("row", "col", F.col("n").cast("bigint").alias("n"), F.lit(False).alias("own"))
     along = W.partitionBy("row").orderBy("col").rangeBetween(W.unboundedPreceding, 0)
     down = W.partitionBy("col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
     return (
-        empty.unionByName(valid)
-        .withColumn("n", F.sum("ok").over(along))
-        .where(F.col("ok") == 0)
-        .select("row", "col", F.sum("n").over(down).alias("n_valid"))
+        empty.withColumn("own", F.lit(True))
+        .unionByName(known)
+        .withColumn("n", F.sum("n").over(along))
+        .where("own")
+        .select("row", "col", F.sum("n").over(down).alias("upto"))
     )
 
 
+def tile_prefixes(cells: DataFrame, tiles: DataFrame, grid: Grid, value: str = "value") -> DataFrame:
+    """Summed-area tables of the valid cells inside the wanted tiles: (tile_row, tile_col, prefix).
+
+    ``prefix`` has a row and a column of zeros in front, so that any rectangle is four look-ups. Cells of
+    other tiles are dropped before the shuffle where the wanted tiles are few enough to be shipped.
+    """
+    t = grid.tile
+    keys = ["tile_row", "tile_col"]
+    placed = cells.where(F.col(value).isNotNull()).select(
+        F.floor(F.col("row") / t).cast("int").alias("tile_row"),
+        F.floor(F.col("col") / t).cast("int").alias("tile_col"),
+        (F.col("row") % t * t + F.col("col") % t).cast("int").alias("idx"),
+    )
+
+    def build(key, table):
+        inside = np.bincount(table["idx"].to_numpy(), minlength=t * t).reshape(t, t)
+        prefix = np.zeros((t + 1, t + 1), np.int32)
+        prefix[1:, 1:] = inside.cumsum(0).cumsum(1)
+        row, col = (pa.array([k.as_py()], pa.int32()) for k in key)
+        return pa.table({"tile_row": row, "tile_col": col, "prefix": pa.array([prefix.ravel()], pa.list_(pa.int32()))})
+
+    hit = placed.join(tiles.select(*keys).distinct(), keys, "left_semi")
+    return hit.groupBy(*keys).applyInArrow(build, "tile_row int, tile_col int, prefix array<int>")
+
+
+def window_counts(cells: DataFrame, windows: DataFrame, keys: list[str], grid: Grid, size: int, value: str = "value") -> DataFrame:
+    """Valid cells in each square window (``keys``, row0, col0): keys, n_valid.
+
+    Two levels: tiles that a window covers whole come from prefix sums over tile totals, four look-ups a window; its edge
+    tiles come from summed-area tables, made for tiles that some window cuts. No grid of single cells is laid out.
+    """
+    t = grid.tile
+    spans, inner = {}, {}
+    for name in ("row", "col"):
+        first = F.col(f"{name}0")
+        spans[name] = F.sequence(F.floor(first / t).cast("int"), F.floor((first + size - 1) / t).cast("int"))
+        inner[name] = (F.ceil(first / t).cast("int"), (F.floor((first + size) / t) - 1).cast("int"))
+    covered = (inner["row"][0] <= inner["row"][1]) & (inner["col"][0] <= inner["col"][1])
+    touched = windows.withColumn("tile_row", F.explode(spans["row"])).withColumn("tile_col", F.explode(spans["col"]))
+    whole = F.col("tile_row").between(*inner["row"]) & F.col("tile_col").between(*inner["col"])
+    edges = touched.where(~whole)
+
+    def at(row_end: str, col_end: str):
+        place = []
+        for name, end in (("row", row_end), ("col", col_end)):
+            start = F.col(f"{name}0") - F.col(f"tile_{name}") * t
+            place.append(F.greatest(start, F.lit(0)) if end == "low" else F.least(start + size, F.lit(t)))
+        return F.get("prefix", (place[0] * (t + 1) + place[1]).cast("int"))
+
+    inside = at("high", "high") - at("low", "high") - at("high", "low") + at("low", "low")
+    cut = edges.join(tile_prefixes(cells, edges, grid, value), ["tile_row", "tile_col"]).select(*keys, inside.cast("bigint").alias("n"))
+    if size >= t:
+        tile = [F.floor(F.col(c) / t).cast("int").alias(c) for c in ("row", "col")]
+        totals = cells.where(F.col(value).isNotNull()).select(*tile).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
+        upto = prefix_sums(totals, grid.tiles_across, grid.tiles_down)
+        corners = F.array(
+            *[
+                F.struct(
+                    (inner["row"][1] if dr else inner["row"][0] - 1).alias("row"),
+                    (inner["col"][1] if dc else inner["col"][0] - 1).alias("col"),
+                    F.lit(1 if dr == dc else -1).alias("sign"),
+                )
+                for dr in (0, 1)
+                for dc in (0, 1)
+            ]
+        )
+        looked = windows.where(covered).select(*keys, F.explode(corners).alias("c")).select(*keys, "c.*")
+        cut = cut.unionByName(looked.join(upto, ["row", "col"]).select(*keys, (F.col("sign") * F.col("upto")).alias("n")))
+    counted = cut.groupBy(*keys).agg(F.sum("n").alias("n_valid"))
+    return windows.select(*keys).join(counted, keys, "left").select(*keys, F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+
+
 def crop_origins(
     spark: SparkSession, grid: Grid, n: int, size: int, tries: int = 20,
     rows: tuple[int, int] | None = None, seed=42,
@@ -174,29 +248,13 @@ def sample_crops(
 ) -> DataFrame:
     """First acceptable origin per crop: valid share of the lead channel at least ``min_valid``.
 
-    The valid count of a crop is four look-ups in the prefix counts, not a scan of its cells.
-    Crops without an acceptable try have ``accepted = false`` and NULL origin.
+    Valid cells are counted in two levels, see :func:`window_counts`: the work follows the tiles that candidates
+    touch, and not the grid. Crops without an acceptable try have ``accepted = false`` and NULL origin.
     """
     origins = crop_origins(cells.sparkSession, grid, n, size, tries, rows, seed)
-    corners = F.array(
-        *[
-            F.struct(
-                (F.col("row0") + (size - 1 if dr else -1)).alias("row"),
-                (F.col("col0") + (size - 1 if dc else -1)).alias("col"),
-                F.lit(1 if dr == dc else -1).alias("sign"),
-            )
-            for dr in (0, 1)
-            for dc in (0, 1)
-        ]
-    )
-    looked = origins.withColumn("c", F.explode(corners)).select("crop_id", "try", "row0", "col0", "c.*")
-    counts = valid_prefix_counts(cells, grid)
-    share = F.coalesce(F.sum(F.col("sign") * F.col("n_valid")), F.lit(0)) / F.lit(float(size * size))
-    scored = (
-        looked.join(counts, ["row", "col"], "left")
-        .groupBy("crop_id", "try", "row0", "col0")
-        .agg(share.alias("valid_fraction"))
-    )
+    keys = ["crop_id", "try"]
+    share = F.col("n_valid") / F.lit(float(size * size))
+    scored = origins.join(window_counts(cells, origins, keys, grid, size), keys).withColumn("valid_fraction", share)
     good = F.when(F.col("valid_fraction") >= min_valid, F.col("try"))
     best = scored.groupBy("crop_id").agg(
         F.min(good).alias("try"),

@@ -507,7 +507,7 @@ def uniform_sample(spark, sf):
     "replacement_draw",
     "X3",
     """SELECT d.draw, p.patch_id FROM (SELECT draw, CAST('0x' || substr(md5(concat('123:', CAST(draw AS VARCHAR))), 1, 8) AS BIGINT) % (SELECT count(*) FROM patches) AS k
-      FROM range(0, 500) t(draw)) d JOIN patches p ON p.patch_id = d.k""",
+      FROM range(0, 500) t(draw)) d JOIN (SELECT patch_id, row_number() OVER (ORDER BY patch_id) - 1 AS k FROM patches) p ON p.k = d.k""",
 )
 def replacement_draw(spark, sf):
     p = fixture(spark, sf, "patches").select("patch_id")
@@ -571,20 +571,35 @@ def crop_pixels(spark, sf):
     )
 
 
+LAT_BAND = (61.0, 85.0)
+# Rows 3 to 18 of the grid lie in that band, so origins run from 3 to 13 or as far as the grid goes.
+BAND_SQL = CROP_SQL.replace(f"% ({{h}} - {CROP} + 1)", f"% (least({{h}} - {CROP}, 13) - 3 + 1) + 3")
+
+
 @query(
     "crop_latitudes",
     "F4 X1",
-    """SELECT CAST(count(*) AS BIGINT) AS n, bool_and(row0 BETWEEN lo AND hi) AS in_band FROM (
-      SELECT CAST('0x' || substr(md5(concat('42:row:', CAST(o_orderkey AS VARCHAR), ':0')), 1, 8) AS BIGINT) % 35 + 5 AS row0, 5 AS lo, 39 AS hi FROM orders) o""",
+    f"""SELECT c.crop_id, c.row0, c.col0, c.valid_fraction, count(m3_750) AS n_valid, round(min(lat), 6) AS lat_min, round(max(lat), 6) AS lat_max
+    FROM ({BAND_SQL.replace("{h}", "(SELECT max(row) + 1 FROM rasters)")}) c
+    JOIN rasters r ON r.row BETWEEN row0 AND row0 + {CROP - 1} AND r.col BETWEEN col0 AND col0 + {CROP - 1}
+    JOIN (SELECT row, col, lat FROM dem) d ON d.row = r.row AND d.col = r.col
+    WHERE accepted GROUP BY 1, 2, 3, 4""",
 )
 def crop_latitudes(spark, sf):
-    """Origins of one try per order key stay inside the rows of a latitude band."""
-    n = table(spark, sf, "orders").count()
+    """Crops from the rows of a latitude band, and the latitudes of the cells they hold."""
     grid = dem_grid(spark, sf)
-    origins = P.crop_origins(spark, grid, n, CROP, tries=1, rows=(5, 39))
-    return origins.agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("row0").between(5, 39)).alias("in_band")
+    lead = fixture(spark, sf, "rasters").select("row", "col", F.col("m3_750").alias("value"))
+    rows = P.latitude_rows(grid, CROP, *LAT_BAND)
+    made = P.sample_crops(lead, grid, CROPS, CROP, min_valid=0.9, tries=TRIES, rows=rows).where("accepted")
+    inside = F.explode(F.sequence(F.lit(0), F.lit(CROP - 1)))
+    cells = made.withColumn("i", inside).withColumn("j", inside).select(
+        "crop_id", "row0", "col0", "valid_fraction", (F.col("row0") + F.col("i")).alias("row"), (F.col("col0") + F.col("j")).alias("col")
+    )
+    held = cells.join(lead, ["row", "col"]).join(fixture(spark, sf, "dem").select("row", "col", "lat"), ["row", "col"])
+    out = held.groupBy("crop_id", "row0", "col0", "valid_fraction").agg(
+        F.count("value").alias("n_valid"), F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max")
     )
+    return rounded(out, "valid_fraction", "lat_min", "lat_max")
 
 
 @query(
