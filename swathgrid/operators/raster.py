@@ -54,18 +54,20 @@ def shift(
     )
 
 
-def blend_dems(laser: DataFrame, stereo: DataFrame | None, lat: str = "lat") -> DataFrame:
+def blend_dems(laser: DataFrame, stereo: DataFrame | None, lat: str = "lat", keep_lat: bool = False) -> DataFrame:
     """Stereo elevations near the equator, laser near the poles, a linear mix from 58 to 62.
 
     Inside the mixing band a cell is mixed only if both are valid; otherwise laser stays as is. Cells
     that only the stereo raster holds count as laser nodata; their latitude comes from its own column.
+    ``keep_lat`` adds the latitude, of whichever raster has the cell.
     """
     if stereo is None:
-        return laser.select("row", "col", F.col("value").alias("elevation"))
+        return laser.select("row", "col", F.col("value").alias("elevation"), *[F.col(lat)] * keep_lat)
     own = F.col(lat) if lat in stereo.columns else F.lit(None).cast("double")
     right = stereo.select("row", "col", F.col("value").alias("stereo"), own.alias("_lat"))
     both = laser.join(right, ["row", "col"], "full" if lat in stereo.columns else "left")
-    a = F.abs(F.coalesce(F.col(lat), F.col("_lat")))
+    either = F.coalesce(F.col(lat), F.col("_lat"))
+    a = F.abs(either)
     mixed = F.col("stereo").isNotNull() & F.col("value").isNotNull()
     share = (a - 58.0) / 4.0
     elevation = (
@@ -73,7 +75,7 @@ def blend_dems(laser: DataFrame, stereo: DataFrame | None, lat: str = "lat") ->
         .when((a < 62) & mixed, F.col("stereo") * (1 - share) + F.col("value") * share)
         .otherwise(F.col("value"))
     )
-    return both.select("row", "col", elevation.alias("elevation"))
+    return both.select("row", "col", elevation.alias("elevation"), *[either.alias(lat)] * keep_lat)
 
 
 def _target_range(base: Column, src: int, dst: int) -> Column:

@@ -66,10 +66,9 @@ def derive_terrain(
 ) -> DataFrame:
     """Blended elevation, slope and roughness as three channels (laser alone without stereo).
 
-    The blend is stored once, as both derivatives read it.
+    The blend is stored once, as both derivatives read it. Cells that only one of the rasters holds take part.
     """
-    blend = R.blend_dems(laser, stereo)
-    dem = written(blend.join(laser.select("row", "col", "lat"), ["row", "col"]), "elevation")
+    dem = written(R.blend_dems(laser, stereo, keep_lat=True), "elevation")
     layers = {
         "elevation": dem.select("row", "col", F.col("elevation").alias("value")),
         "slope": stencil.slope(dem, grid, "elevation", "lat", pixel_m, block=block),

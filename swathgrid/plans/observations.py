@@ -14,7 +14,7 @@ from swathgrid.plans.registry import query
 from swathgrid.sources import binary
 from swathgrid.sources.workspace import scratch, written
 from swathgrid.sources.writers import write_rasters
-from swathgrid.streaming import jobs
+from swathgrid.streaming import admission, jobs
 
 BANDS = ["b1", "b2"]
 
@@ -254,6 +254,65 @@ def stream_admission(spark, sf):
     return rounded(admitted.select("product_id", "incidence"), "incidence")
 
 
+@query(
+    "stream_verdicts",
+    "T3 F5",
+    f"""SELECT strip_id, CAST(count(*) AS BIGINT) AS n_samples,
+    CAST(count(*) FILTER (WHERE incidence > 0 AND incidence < 80) AS BIGINT) AS n_valid,
+    count(*) FILTER (WHERE incidence > 0 AND incidence < 80) > 0 AS is_daytime
+    FROM ({SAMPLED}) s GROUP BY strip_id""",
+)
+def stream_verdicts(spark, sf):
+    """Lines of strips in several batches, each delivered twice; a strip is judged when its three lines are there."""
+    obs = fixture(spark, sf, "obs")
+    good = (F.col("incidence") > 0) & (F.col("incidence") < 80)
+    per_line = obs.groupBy("strip_id", "line").agg(
+        F.count("incidence").alias("n_samples"), F.count_if(good).alias("n_valid"), F.min("obs_ts").cast("timestamp").alias("ts")
+    )
+    lines = per_line.join(strip_lines(obs), "strip_id").select(
+        "strip_id", F.col("line").cast("int").alias("line"), F.col("lines").cast("int").alias("lines"), "n_samples", "n_valid", "ts"
+    )
+    landing, session = scratch(spark, "lines"), admission.keyed_session(spark)
+    # Even lines come first, then all of them.
+    lines.where("line % 2 = 0").coalesce(2).write.parquet(landing)
+    lines.coalesce(2).write.mode("append").parquet(landing)
+    arrivals = _stream(session, landing, lines.schema, "*.parquet", maxFilesPerTrigger=1)
+    long = 10_000 * 86_400_000
+    out = scratch(spark, "verdicts")
+    job = admission.start_judging(admission.judge_strips(arrivals, "10000 days", long, long), out, scratch(spark, "verdict-log"))
+    verdicts = jobs.drain(job, lambda: spark.read.schema(admission.VERDICT).parquet(out))
+    return verdicts.select("strip_id", "n_samples", "n_valid", "is_daytime")
+
+
+# KLL sketches of this size keep ranks within 1.33 % of the rows with 99 % certainty, so 3 % is safe.
+RANK_ERROR = 0.03
+
+
+@query(
+    "stream_quantiles",
+    "T2 A7 K6",
+    f"""SELECT channel, prob, CAST(n AS BIGINT) AS n, true AS within FROM (
+      {" UNION ALL ".join(f"SELECT '{c}' AS channel, count({c}) AS n FROM obs" for c in (*BANDS, "incidence"))}) c
+    CROSS JOIN (SELECT 1e-2 AS prob UNION ALL SELECT 5e-1 UNION ALL SELECT 99e-2) p""",
+)
+def stream_quantiles(spark, sf):
+    """Running quantiles from merged sketches: the exact rank of each must be near the wanted one."""
+    obs, names = fixture(spark, sf, "obs"), (*BANDS, "incidence")
+    cells = stack_columns(obs, {c: c for c in names}, keep=())
+    landing = scratch(spark, "cells")
+    cells.repartition(5).write.parquet(landing)
+    arrivals = _stream(spark, landing, cells.schema, "*.parquet", maxFilesPerTrigger=2)
+    sink = scratch(spark, "sketches")
+    job = jobs.stream_sketches(arrivals, sink, scratch(spark, "sketch-log"))
+    sketches = jobs.drain(job, lambda: spark.read.parquet(sink))
+    found = jobs.current_quantiles(sketches, [0.01, 0.5, 0.99])
+    ranks = cells.join(F.broadcast(found), "channel").groupBy("channel", "prob", "n").agg(
+        F.count_if(F.col("value") < F.col("quantile")).alias("below"), F.count_if(F.col("value") <= F.col("quantile")).alias("upto")
+    )
+    slack, at = F.col("n") * RANK_ERROR, F.col("prob") * F.col("n")
+    return ranks.select("channel", "prob", "n", ((F.col("below") - slack <= at) & (at <= F.col("upto") + slack)).alias("within"))
+
+
 # ---- binary files derived from the tables --------------------------------------------------
 
 STRIP_LINES = 8

@@ -22,6 +22,7 @@ from swathgrid.plans.rasters import (
     rounded,
 )
 from swathgrid.plans.registry import query
+from swathgrid.sources import publish
 from swathgrid.sources import tables as IO
 from swathgrid.sources.workspace import scratch
 
@@ -305,3 +306,37 @@ def idempotent_write(spark, sf):
     doubled = counts.where(F.col("flag") == "R").withColumn("n", F.col("n") * 2)
     IO.replace_partitions(doubled, path, ["flag"])
     return spark.read.parquet(path).select(F.col("flag").cast("string").alias("flag"), "n")
+
+
+@query(
+    "completed_write",
+    "K8 U2",
+    "SELECT l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag",
+)
+def completed_write(spark, sf):
+    """A target that a broken job left half-written is made again; once complete, it is left alone."""
+    from swathgrid.plans.fixtures import table
+
+    lines = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), "l_quantity")
+    path = scratch(spark, "published")
+    lines.where("flag < 'N'").write.partitionBy("flag").parquet(path)
+    publish.publish_once(lines, path, ["flag"])
+    publish.publish_once(lines.limit(3), path, ["flag"])
+    stored = spark.read.schema(lines.schema).parquet(path)
+    return stored.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query(
+    "resumed_strips",
+    "K8 J3 U2",
+    """SELECT strip_id, CAST(count(*) AS BIGINT) AS n, CASE WHEN CAST(strip_id AS INT) % 3 = 0 THEN 'first' ELSE 'second' END AS run
+    FROM obs GROUP BY strip_id""",
+)
+def resumed_strips(spark, sf):
+    """A first run that finished a third of the strips, then one over all of them."""
+    obs = fixture(spark, sf, "obs").select("strip_id", "line", "incidence")
+    path = scratch(spark, "strips")
+    first = obs.where(F.col("strip_id").cast("int") % 3 == 0).withColumn("run", F.lit("first"))
+    publish.resume_by_key(first, path, "strip_id")
+    both = publish.resume_by_key(obs.withColumn("run", F.lit("second")), path, "strip_id")
+    return both.groupBy("strip_id", "run").agg(F.count(F.lit(1)).alias("n"))

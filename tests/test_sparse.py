@@ -6,6 +6,8 @@ import pytest
 
 from swathgrid.operators import raster, sampling, tiles
 from swathgrid.sources.workspace import checkpoint_root
+from swathgrid.grid import Grid
+from swathgrid.plans.composites import derive_terrain
 
 CELL = "channel string, row int, col int, value double"
 
@@ -41,3 +43,11 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
     with pytest.raises(ValueError, match="share"):
         checkpoint_root(session)
+
+
+def test_terrain_keeps_cells_that_only_stereo_holds(spark):
+    schema = "row int, col int, lat double, value double"
+    laser = spark.createDataFrame([(0, 0, 10.0, 1.0), (0, 1, 10.0, 3.0)], schema)
+    stereo = spark.createDataFrame([(0, 0, 10.0, 2.0), (0, 2, 10.0, 5.0)], schema)
+    out = derive_terrain(laser, stereo, Grid(3, 1, 1.0), 1000.0).where("channel = 'elevation'")
+    assert sorted((r.row, r.col, r.value) for r in out.collect()) == [(0, 0, 2.0), (0, 1, 3.0), (0, 2, 5.0)]
