@@ -36,7 +36,7 @@ class StripJudge(StatefulProcessor):
         self.lines = handle.getMapState("lines", "line int", "n_samples bigint, n_valid bigint")
         self.judged = handle.getValueState("judged", "forget_at bigint")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         if self.judged.exists():
             return
         newest, wanted = 0, set()
@@ -49,15 +49,15 @@ class StripJudge(StatefulProcessor):
         if wanted and wanted <= held:
             for at in list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
-            yield self._verdict(key, max(newest, timer_values.getCurrentWatermarkInMs()))
+            yield self._verdict(key, max(newest, timerValues.getCurrentWatermarkInMs()))
         elif not any(True for _ in self.handle.listTimers()):
             self.handle.registerTimer(newest + self.wait_ms)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.judged.exists():
             self.judged.clear()
         else:
-            yield self._verdict(key, expired.getExpiryTimeInMs(), complete=False)
+            yield self._verdict(key, expiredTimerInfo.getExpiryTimeInMs(), complete=False)
 
     def _verdict(self, key, now_ms: int, complete: bool = True) -> Row:
         counts = list(self.lines.values())

@@ -109,13 +109,11 @@ def current_quantiles(sketches: DataFrame, probs: list[float]) -> DataFrame:
     A quantile is a value whose rank is within 1.33 % of n of the wanted one, with 99 % certainty; merging does not add to that.
     """
     merged = sketches.groupBy("channel").agg(F.kll_merge_agg_double("sketch").alias("sketch"))
-    rows = merged.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    return rows.select(
-        "channel",
-        F.kll_sketch_get_n_double("sketch").alias("n"),
-        "prob",
-        F.kll_sketch_get_quantile_double("sketch", F.col("prob")).alias("quantile"),
-    )
+    found = [
+        F.struct(F.lit(float(p)).alias("prob"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(p))).alias("quantile")) for p in probs
+    ]
+    rows = merged.select("channel", F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(F.array(*found)).alias("q"))
+    return rows.select("channel", "n", "q.prob", "q.quantile")
 
 
 def admit_strips(

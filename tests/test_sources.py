@@ -160,3 +160,22 @@ def test_tiles_round_trip(spark, tmp_path):
     assert sorted(map(key, back.collect()), key=str) == sorted(map(key, cells.collect()), key=str)
     window = T.read_window(IO.read_tiles(spark, path), grid, 4, 4, 2, 3)
     assert window.count() == 6
+
+
+def test_sketches_of_batches_merge(spark, tmp_path):
+    src, sink = str(tmp_path / "cells"), str(tmp_path / "sketches")
+    cells = spark.range(20_000).select(
+        F.concat(F.lit("c"), F.col("id") % 2).alias("channel"),
+        F.when(F.col("id") % 50 > 1, ((F.col("id") * 7919) % 20_011).cast("double")).alias("value"),
+    )
+    cells.repartition(6).write.parquet(src)
+    stream = spark.readStream.schema(cells.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    job = jobs.stream_sketches(stream, sink, str(tmp_path / "log"))
+    sketches = jobs.drain(job, lambda: spark.read.parquet(sink))
+    assert sketches.select("batch").distinct().count() == 3
+    jobs.compact_sketches(sketches, str(tmp_path / "folded"), 0)
+    for source in (sketches, spark.read.parquet(str(tmp_path / "folded"))):
+        for r in jobs.current_quantiles(source, [0.01, 0.5, 0.99]).collect():
+            own = sorted(x.value for x in cells.where(F.col("channel") == r.channel).collect() if x.value is not None)
+            assert r.n == len(own)
+            assert abs(np.searchsorted(own, r.quantile) / len(own) - r.prob) < 0.03
