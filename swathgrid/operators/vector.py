@@ -94,25 +94,26 @@ def crater_mask(craters: DataFrame, grid: Grid, key: str = "crater_id") -> DataF
     return covered_cells(runs.select("row", "first", "last"))
 
 
-def polygon_runs(polygons: DataFrame, grid: Grid) -> DataFrame:
+def _edges(ring: Column) -> Column:
+    """Edges of a ring, the closing one included."""
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1))
+    return F.zip_with(
+        ring,
+        after,
+        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")),
+    )
+
+
+def polygon_runs(polygons: DataFrame, grid: Grid, wrap: bool = False) -> DataFrame:
     """Even-odd scan conversion at pixel centres: (ordinal, row, first, last).
 
-    Rings are in grid degrees. Every edge yields its crossing with each row centre line; sorted
-    crossings of a polygon and row pair up to runs.
+    A polygon is one ``ring``, or ``rings`` of any number of parts and holes; coordinates are grid degrees. Every edge
+    yields its crossing with each row centre line; sorted crossings of a polygon and row, over all
+    its rings, pair up to runs: what lies in an even number of rings is outside. With ``wrap`` polygons may reach beyond +-180
+    (as those of 0 to 360 layers do), and their runs are cut there; otherwise what lies beyond is left out.
     """
-    ring = F.col("ring")
-    edges = polygons.select(
-        "ordinal",
-        F.explode(
-            F.zip_with(
-                ring,
-                F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(1))), F.slice(ring, 1, 1)),
-                lambda p, q: F.struct(
-                    p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
-                ),
-            )
-        ).alias("e"),
-    ).select("ordinal", "e.*")
+    edges = F.flatten(F.transform("rings", _edges)) if "rings" in polygons.columns else _edges(F.col("ring"))
+    edges = polygons.select("ordinal", F.explode(edges).alias("e")).select("ordinal", "e.*")
     edges = edges.where(F.col("y1") != F.col("y2"))
     top, bottom = F.greatest("y1", "y2"), F.least("y1", "y2")
     r0 = F.greatest(F.floor((F.lit(90.0) - top) * grid.ppd).cast("int") - 1, F.lit(0))
@@ -132,16 +133,41 @@ def polygon_runs(polygons: DataFrame, grid: Grid) -> DataFrame:
     def position(x):
         return (x + F.lit(180.0)) * F.lit(grid.ppd) - F.lit(0.5)
 
-    first = F.greatest(F.ceil(position(F.col("x"))).cast("int"), F.lit(0))
-    last = F.least(F.ceil(position(F.col("x2"))).cast("int") - 1, F.lit(grid.width - 1))
-    return pairs.select("ordinal", "row", first.alias("first"), last.alias("last")).where(
-        F.col("first") <= F.col("last")
-    )
+    first, last = F.ceil(position(F.col("x"))).cast("int"), F.ceil(position(F.col("x2"))).cast("int") - 1
+    runs = pairs.select("ordinal", "row", first.alias("first"), last.alias("last")).where(F.col("first") <= F.col("last"))
+    turn = F.lit(0)
+    if wrap:
+        turns = F.sequence(F.floor(F.col("first") / grid.width), F.floor(F.col("last") / grid.width))
+        runs = runs.withColumn("turn", F.explode(turns))
+        turn = (F.col("turn") * grid.width).cast("int")
+    inside = F.greatest(F.col("first") - turn, F.lit(0)), F.least(F.col("last") - turn, F.lit(grid.width - 1))
+    return runs.select("ordinal", "row", inside[0].alias("first"), inside[1].alias("last")).where(F.col("first") <= F.col("last"))
 
 
-def polygon_raster(polygons: DataFrame, grid: Grid) -> DataFrame:
+def unwrap_rings(polygons: DataFrame) -> DataFrame:
+    """``rings`` of polygons that jump from one side of +-180 to the other, made continuous.
+
+    A step of more than half a turn counts as a step across the date line. Not for layers whose edges do span half the globe, such as
+    polar caps drawn from -180 to 180; those need no unwrapping.
+    """
+    other = [c for c in polygons.columns if c not in ("ordinal", "rings")]
+    points = polygons.select("ordinal", F.posexplode("rings").alias("_ring", "_points"))
+    points = points.select("ordinal", "_ring", F.posexplode("_points").alias("_at", "_p"))
+    ring = W.partitionBy("ordinal", "_ring").orderBy("_at")
+    step = F.col("_p.x") - F.lag("_p.x").over(ring)
+    turn = F.when(step > 180, -360.0).when(step < -180, 360.0).otherwise(0.0)
+    points = points.withColumn("_turn", turn).withColumn("_x", F.col("_p.x") + F.sum("_turn").over(ring))
+    point = F.struct("_at", F.col("_x").alias("x"), F.col("_p.y").alias("y"))
+    rings = points.groupBy("ordinal", "_ring").agg(F.array_sort(F.collect_list(point)).alias("_points"))
+    bare = F.transform("_points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    rings = rings.groupBy("ordinal").agg(F.array_sort(F.collect_list(F.struct("_ring", bare.alias("r")))).alias("_rings"))
+    done = rings.select("ordinal", F.transform("_rings", lambda r: r["r"]).alias("rings"))
+    return polygons.select("ordinal", *other).join(done, "ordinal")
+
+
+def polygon_raster(polygons: DataFrame, grid: Grid, wrap: bool = False) -> DataFrame:
     """Cell -> ordinal of the last polygon that covers it (later features overwrite)."""
-    runs = polygon_runs(polygons, grid)
+    runs = polygon_runs(polygons, grid, wrap)
     cells = runs.withColumn("col", F.explode(F.sequence("first", "last")))
     return cells.groupBy("row", "col").agg(F.max("ordinal").alias("ordinal"))
 
@@ -161,15 +187,25 @@ def unit_ids(units: DataFrame, unit: str = "unit") -> DataFrame:
     return names.withColumn("unit_id", F.row_number().over(W.orderBy("unit")).cast("int"))
 
 
-def parse_wkt_ring(wkt: Column) -> Column:
-    """Outer ring of ``POLYGON((x y, x y, ...))`` as an array of points, closing point dropped."""
-    body = F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1)
+def _points(body: Column) -> Column:
+    """``x y, x y, ...`` as an array of points, closing point dropped."""
     points = F.transform(
         F.split(body, ","),
         lambda s: F.struct(
-            F.get(F.split(F.trim(s), r"\s+"), 0).try_cast("double").alias("x"),
-            F.get(F.split(F.trim(s), r"\s+"), 1).try_cast("double").alias("y"),
+            F.get(F.split(F.trim(s), r"\s+"), F.lit(0)).try_cast("double").alias("x"),
+            F.get(F.split(F.trim(s), r"\s+"), F.lit(1)).try_cast("double").alias("y"),
         ),
     )
     closed = F.element_at(points, 1) == F.element_at(points, -1)
     return F.when(closed, F.slice(points, F.lit(1), F.size(points) - 1)).otherwise(points)
+
+
+def parse_wkt_ring(wkt: Column) -> Column:
+    """Outer ring of ``POLYGON((x y, x y, ...))`` as an array of points, closing point dropped."""
+    return _points(F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1))
+
+
+def parse_wkt_rings(wkt: Column) -> Column:
+    """All rings of a ``POLYGON`` or ``MULTIPOLYGON``, parts and holes alike; none for an empty one, NULL for other text."""
+    bodies = F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1))
+    return F.when(F.upper(F.ltrim(wkt)).rlike("^(MULTI)?POLYGON"), F.transform(bodies, _points))

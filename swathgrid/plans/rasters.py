@@ -265,6 +265,24 @@ def regrid_average(spark, sf):
     return off_tie(out, "value")
 
 
+@query(
+    "regrid_footprint",
+    "J9",
+    f"""SELECT r AS row, c AS col, round(sum(w * v) / sum(w) + 17e-9, 6) AS value FROM (
+      SELECT t.r, t.c, d.sldem AS v, (1 - abs(d.row - y) / sy) * (1 - abs(d.col - x) / 25e-1) AS w
+      FROM (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c, {H} / CAST(FLOOR({H} / 3e0) AS DOUBLE) AS sy,
+              (r + 5e-1) * {H} / CAST(FLOOR({H} / 3e0) AS INT) - 5e-1 AS y, (c + 5e-1) * 25e-1 - 5e-1 AS x
+            FROM range(0, CAST(FLOOR({H} / 3e0) AS INT)) a(r) CROSS JOIN range(0, 50) b(c)) t
+      JOIN dem d ON abs(d.row - y) < sy AND abs(d.col - x) < 25e-1 WHERE d.sldem IS NOT NULL) q
+    GROUP BY r, c""",
+)
+def regrid_footprint(spark, sf):
+    """Down-sampling with a tent of the target's width."""
+    h = dem_grid(spark, sf).height
+    out = R.regrid_footprint(dem(spark, sf, "sldem"), (h, 125), (h // 3, 50))
+    return off_tie(out, "value")
+
+
 @query(
     "tile_mosaic_last_valid",
     "J10 C9",
@@ -365,6 +383,33 @@ def polygon_raster(spark, sf):
     return named.join(vector.unit_ids(named), "unit")
 
 
+@query(
+    "polygon_parts",
+    "S13 J6",
+    """SELECT CAST(y AS INT) AS row, CAST(x AS INT) AS col, max(ordinal) AS ordinal, arg_max(unit, ordinal) AS unit
+    FROM (SELECT *, abs((x - 1795e-1 - cx + 900) % 360 - 180) AS dx1, abs((x - 1795e-1 - cx - 60 + 900) % 360 - 180) AS dx2,
+            abs(90e0 - y - 5e-1 - cy) AS dy FROM diamonds CROSS JOIN range(0, 180) a(y) CROSS JOIN range(0, 360) b(x)) d
+    WHERE (dx1 + dy <= a AND NOT dx1 + dy <= a / 2) OR dx2 + dy <= a / 2 GROUP BY y, x""",
+)
+def polygon_parts(spark, sf):
+    """A WKT layer of two parts each, the first with a hole; some reach across the date line."""
+    from swathgrid.sources.tables import unit_column
+
+    def around(dx, share):
+        corner = [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 0)]
+        size = F.col("a") * share
+        points = [F.concat_ws(" ", F.col("cx") + dx + size * x, F.col("cy") + size * y) for x, y in corner]
+        return F.concat(F.lit("("), F.concat_ws(", ", *points), F.lit(")"))
+
+    wkt = F.concat(
+        F.lit("MULTIPOLYGON (("), around(0, 1.0), F.lit(", "), around(0, 0.5), F.lit("), ("), around(60, 0.5), F.lit("))")
+    )
+    layer = fixture(spark, sf, "diamonds").select("ordinal", F.col("unit").alias("MapUnit"), wkt.alias("wkt"))
+    polygons = layer.select("ordinal", F.col(unit_column(layer)).alias("unit"), vector.parse_wkt_rings(F.col("wkt")).alias("rings"))
+    cells = vector.polygon_raster(polygons, LATTICE, wrap=True)
+    return vector.attach_units(cells, polygons).select("row", "col", "ordinal", "unit")
+
+
 @query(
     "polygon_projection",
     "P8",
