@@ -7,6 +7,11 @@ merges, so the weights sit on pairs: an arc costs 0 if the pair of pieces is wha
 their joined text, and infinity otherwise. Merging has one result for every prefix of
 the input, so a state per position survives and the tropical shortest path is read off left to right.
 
+The acceptor is compiled from the order of merges: each piece is split into the two parts of its last merge. Where pieces u and v
+meet, the parts at the boundary are the right-hand parts of u and the left-hand parts of v, each for the
+time from the merge that makes it to the one that takes it up. Going back in time, u and v stay apart if no two
+parts that touch make a piece that merges earlier than either of them is taken up, the leftmost first among equals.
+
 No piece has a mark after another character, so an input falls into independent segments (marks, then other
 characters). Segments that begin with two marks or more have pieces of equal weight, where
 the order of merges decides; these runs are merged directly.
@@ -83,12 +88,22 @@ class Model:
         self.bytes = [self.pieces.index(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.longest = max(map(len, self.rank))
+        # Bytes that an id stands for; pieces that are neither text nor bytes stand for none.
+        self.spelled = [
+            bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() if kind == NORMAL else b""
+            for i, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True))
+        ]
 
     def normalise(self, text: str) -> str:
         return (MARK if self.prefix and text else "") + text.replace(" ", MARK)
 
     def merged(self, text: str) -> list[str]:
         """Merging as such: the best-scored adjacent pair first, the leftmost among equals."""
+        return self.merge(text)[0]
+
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What merging gives, and the two parts of the last merge."""
+        last = None
         parts: list[str] = list(text)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -105,13 +120,14 @@ class Model:
             j = after[i]
             if not parts[i] or j >= len(parts) or parts[i] + parts[j] != joined:
                 continue
+            last = parts[i], parts[j]
             parts[i], parts[j] = joined, ""
             after[i] = after[j]
             if after[i] < len(parts):
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        return [p for p in parts if p]
+        return [p for p in parts if p], last
 
 
 class Transducer:
@@ -119,7 +135,8 @@ class Transducer:
 
     def __init__(self, path: str, most: int = 200_000):
         self.model, self.most = Model(path), most
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.splits: dict[str, tuple[str, str] | None] = {}
+        self.order: dict[str, float] = {}
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -127,13 +144,41 @@ class Transducer:
         self.known.clear()
         self.flat, self.sizes = [], []
 
+    def _compile(self, piece: str) -> float:
+        """When merging makes the piece: the later, the larger. Single characters are there from the start; -2: never made."""
+        if len(piece) == 1:
+            when = -1.0
+        else:
+            parts, split = self.model.merge(piece)
+            when = -self.model.rank[piece][0] if len(parts) == 1 else -2.0
+            self.splits[piece] = split
+        self.order[piece] = when
+        return when
+
+    def _when(self, piece: str) -> float:
+        when = self.order.get(piece)
+        return self._compile(piece) if when is None else when
+
     def _accepts(self, u: str, v: str) -> bool:
-        got = self.pairs.get((u, v))
-        if got is None:
-            if len(self.pairs) >= 4 * self.most:
-                self.pairs.clear()
-            got = self.pairs[u, v] = self.model.merged(u + v) == [u, v]
-        return got
+        """Whether merging leaves the boundary between pieces u and v."""
+        rank, order, splits = self.model.rank, self.order, self.splits
+        if u + v in rank and self._when(u + v) != -2.0:
+            return False
+        at_u, at_v = self._when(u), self._when(v)
+        while at_u >= 0 or at_v >= 0:
+            if at_u > at_v:  # among equals the left one merges first, so the right one is taken back first
+                bound, u = at_u, splits[u][1]
+                at_u = order[u] if u in order else self._compile(u)
+                found = rank.get(u + v)
+                if found is not None and -found[0] < bound:
+                    return False
+            else:
+                bound, v = at_v, splits[v][0]
+                at_v = order[v] if v in order else self._compile(v)
+                found = rank.get(u + v)
+                if found is not None and -found[0] <= bound:
+                    return False
+        return True
 
     def path(self, s: str) -> list[str]:
         """The shortest path through the lattice of a segment."""
@@ -144,9 +189,9 @@ class Transducer:
         for end in range(1, len(s) + 1):
             for start in range(max(0, end - longest), end):
                 piece = s[start:end]
-                if (end - start == 1 or piece in rank) and (
-                    self._accepts(last[start], piece) if start else end == 1 or self.model.merged(piece) == [piece]
-                ):
+                if end - start > 1 and (piece not in rank or self._when(piece) == -2.0):
+                    continue
+                if not start or self._accepts(last[start], piece):
                     last[end] = piece
                     break
         out, end = [], len(s)
@@ -185,12 +230,8 @@ class Transducer:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text again; blanks and marks both come back as blanks."""
-        model, out = self.model, bytearray()
-        for i in ids:
-            if (b := model.byte_of.get(i)) is not None:
-                out.append(b)
-            elif model.kinds[i] == NORMAL:
-                out += model.pieces[i].encode()
+        model = self.model
+        out = b"".join(map(model.spelled.__getitem__, ids))
         text = out.decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if model.prefix and text.startswith(" ") else text
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -21,6 +22,24 @@ def test_ids_and_text_equal_the_library(text):
     assert OURS.decode(ids) == text.replace(MARK, " ")
 
 
+def test_acceptor_agrees_with_merging():
+    rng = random.Random(4)
+    texts = [p for p in OURS.model.rank if OURS.model.merged(p) == [p] and MARK not in p[1:]]
+    short = [p for p in texts if len(p) < 4]
+    pairs = [(rng.choice(short), rng.choice(short)) for _ in range(20_000)] + [(rng.choice(texts), rng.choice(texts)) for _ in range(10_000)]
+    # Words of the vocabulary cut anywhere are pairs that merging often joins.
+    for w in rng.sample([p for p in texts if len(p) > 3], 5000):
+        at = rng.randrange(1, len(w))
+        pairs.append((w[:at], w[at:]))
+    tried = 0
+    for u, v in pairs:
+        if v.startswith(MARK) or OURS.model.merged(u) != [u] or OURS.model.merged(v) != [v]:
+            continue
+        tried += 1
+        assert OURS._accepts(u, v) == (OURS.model.merged(u + v) == [u, v]), (u, v)
+    assert tried > 15_000
+
+
 def test_table_equals_the_library(spark):
     docs = documents(spark)
     got = {r.doc_id: r for r in encode_texts(docs, PATH).collect()}
