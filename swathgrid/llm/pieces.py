@@ -5,7 +5,8 @@ lexicon with byte fallback, and an acceptor of piece pairs. Composed with an inp
 lattice whose states are (position, last piece). Summed piece weights cannot express the order of BPE
 merges, so the weights sit on pairs: an arc costs 0 if the pair of pieces is what merging gives for
 their joined text, and infinity otherwise. Merging has one result for every prefix of
-the input, so a state per position survives and the tropical shortest path is read off left to right.
+the input, so each position has at most one state at cost 0. The tropical shortest path is found depth first, longest
+arcs first, and a position from which the end was not reached is not entered again.
 
 The acceptor is compiled from the order of merges: each piece is split into the two parts of its last merge. Where pieces u and v
 meet, the parts at the boundary are the right-hand parts of u and the left-hand parts of v, each for the
@@ -137,6 +138,11 @@ class Transducer:
         self.model, self.most = Model(path), most
         self.splits: dict[str, tuple[str, str] | None] = {}
         self.order: dict[str, float] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.reach: dict[str, int] = {}  # the longest piece by its first three characters
+        for piece in self.model.rank:
+            if len(piece) > self.reach.get(piece[:3], 2):
+                self.reach[piece[:3]] = len(piece)
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -164,7 +170,8 @@ class Transducer:
         rank, order, splits = self.model.rank, self.order, self.splits
         if u + v in rank and self._when(u + v) != -2.0:
             return False
-        at_u, at_v = self._when(u), self._when(v)
+        at_u = order[u] if u in order else self._compile(u)
+        at_v = order[v] if v in order else self._compile(v)
         while at_u >= 0 or at_v >= 0:
             if at_u > at_v:  # among equals the left one merges first, so the right one is taken back first
                 bound, u = at_u, splits[u][1]
@@ -184,21 +191,34 @@ class Transducer:
         """The shortest path through the lattice of a segment."""
         if s.startswith(MARK * 2):
             return self.model.merged(s)
-        rank, longest = self.model.rank, self.model.longest
-        last = [""] * (len(s) + 1)
-        for end in range(1, len(s) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = s[start:end]
-                if end - start > 1 and (piece not in rank or self._when(piece) == -2.0):
+        rank, order, pairs, reach, n = self.model.rank, self.order, self.pairs, self.reach, len(s)
+        if len(pairs) > self.most:
+            pairs.clear()
+        out: list[str] = []
+        dead: set[int] = set()
+        at, before, most = 0, "", n
+        while at < n:
+            for size in range(min(most, n - at, reach.get(s[at : at + 3], 2)), 0, -1):
+                if at + size in dead:
                     continue
-                if not start or self._accepts(last[start], piece):
-                    last[end] = piece
-                    break
-        out, end = [], len(s)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+                piece = s[at : at + size]
+                if size > 1 and (piece not in rank or (order[piece] if piece in order else self._compile(piece)) == -2.0):
+                    continue
+                if before:
+                    good = pairs.get((before, piece))
+                    if good is None:
+                        good = pairs[before, piece] = self._accepts(before, piece)
+                    if not good:
+                        continue
+                out.append(piece)
+                at, before, most = at + size, piece, n
+                break
+            else:
+                dead.add(at)
+                most = len(out[-1]) - 1
+                at -= len(out.pop())
+                before = out[-1] if out else ""
+        return out
 
     def _ids(self, s: str) -> list[int]:
         out = []
