@@ -134,7 +134,7 @@ class Model:
 class Transducer:
     """Encodes and decodes; what segments and pairs gave is kept until the store is full."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         self.model, self.most = Model(path), most
         self.splits: dict[str, tuple[str, str] | None] = {}
         self.order: dict[str, float] = {}
@@ -148,7 +148,7 @@ class Transducer:
 
     def _clear(self) -> None:
         self.known.clear()
-        self.flat, self.sizes = [], []
+        self.flat, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def _compile(self, piece: str) -> float:
         """When merging makes the piece: the later, the larger. Single characters are there from the start; -2: never made."""
@@ -231,14 +231,14 @@ class Transducer:
         if len(self.known) > self.most:
             self._clear()
         split = [SEGMENT.findall(self.model.normalise(t)) for t in texts]
+        new, new_sizes = [], []
         for s in {s for ss in split for s in ss}.difference(self.known):
             ids = self._ids(s)
-            self.known[s] = len(self.sizes)
-            self.flat.append(np.array(ids, np.int32))
-            self.sizes.append(len(ids))
-        flat = np.concatenate(self.flat) if self.flat else np.zeros(0, np.int32)
-        self.flat = [flat]
-        sizes = np.array(self.sizes, np.int64)
+            self.known[s] = len(self.known)
+            new += ids
+            new_sizes.append(len(ids))
+        self.flat = flat = np.concatenate([self.flat, np.array(new, np.int32)])
+        self.sizes = sizes = np.concatenate([self.sizes, np.array(new_sizes, np.int64)])
         begins = np.cumsum(sizes) - sizes
         out = []
         for ss in split:
