@@ -23,8 +23,10 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -256,6 +258,14 @@ class Transducer:
         return text[1:] if model.prefix and text.startswith(" ") else text
 
 
+def _kept(path: str) -> Transducer:
+    """One transducer for all tasks of a Python worker. Functions travel with the job, so their module's globals do not last."""
+    store = sys.modules.setdefault("swathgrid_pieces_store", ModuleType("swathgrid_pieces_store"))
+    if getattr(store, "path", None) != path:
+        store.path, store.transducer = path, Transducer(path)
+    return store.transducer
+
+
 def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", keep: bool = True) -> DataFrame:
     """One row per document: doc_id, n_ids, ids_crc32, n_byte_ids, round_trip, ids, decoded.
 
@@ -266,7 +276,7 @@ def encode_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = Transducer(model_path)
+        fst = _kept(model_path)
         low, high = min(fst.model.bytes), max(fst.model.bytes)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
