@@ -1,14 +1,14 @@
 r"""Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens place every turn in a window: the turn whose tokens start at prefix p
-goes to window p // stride. A window so holds whole turns only, its own turns exceed the stride
-by the rest of its last turn at most, and no turn waits for the one before. Each further window repeats the
-conversation's system turn and the last turns before it as far as `history` tokens reach. Repeated
-turns are marked and stay outside the loss mask.
+A window holds the conversation's system turn, the last turns before its own as far as `history`
+tokens reach, and its own turns; all together stay within `budget` tokens. Prefix sums of turn tokens choose
+the spans: the turns whose tokens start in one stretch of 16 budgets are filled into windows in order, each up to
+the last turn that still fits. Stretches are independent, so a long conversation is filled by many tasks; a
+stretch's last window can be part empty. History gives way where a turn would not fit beside it.
 
 A turn is written `<turn ROLE>TEXT</turn>`, a repeated one `<turn again ROLE>TEXT</turn>`, each on
-its own line. Inside roles and texts, `\` becomes `\\`, `<` becomes `\l`, `>` becomes `\g`, so no text can hold a
-control string, and the original comes back exactly.
+its own line. Repeated turns stay outside the loss mask. Inside roles and texts, `\` becomes `\\`, `<` becomes
+`\l`, `>` becomes `\g`, so no text can hold a control string, and the original comes back exactly.
 
 Prefix sums are taken in blocks of 1024 turn numbers, then over the block sums, so a conversation
 that holds a third of all rows is spread over many tasks.
@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -29,12 +32,11 @@ from swathgrid.llm.common import WORD
 
 BLOCK = 1024
 MARKS = 4  # tokens that a turn's own marks are counted as
+STRETCH = 16  # budgets that are filled in one go: 64 * budget turns at most
 
 
-def escape(c: Column) -> Column:
-    for plain, coded in (("\\", "\\\\"), ("<", "\\l"), (">", "\\g")):
-        c = F.replace(c, F.lit(plain), F.lit(coded))
-    return c
+def escape(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("<", "\\l").replace(">", "\\g")
 
 
 def unescape(text: str) -> str:
@@ -45,7 +47,7 @@ def unescape(text: str) -> str:
 def prefix_sums(turns: DataFrame, value: str, out: str) -> DataFrame:
     """Sum of `value` over all earlier turns of the conversation, in two levels."""
     turns = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inner = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text_key", "copy")
+    inner = W.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     before = inner.rowsBetween(W.unboundedPreceding, -1)
     blocks = turns.groupBy("conv_id", "block").agg(F.sum(value).alias("block_sum"))
     outer = W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -64,100 +66,125 @@ def prefix_sums(turns: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def chat_windows(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
-    """Formatted windows: conv_id, window, text, mask (list of [start, end) code points of target text).
+    """Formatted windows: conv_id, window (tokens before its own turns), text, mask (list of [start, end)
+    code points of target text).
 
     Input columns: conv_id, turn, role, text; others are not read. Null text and null role are
     empty. A null conv_id is a conversation of its own, a null turn comes first. Ties in turn go by role, then text;
-    rows that are equal in all of them are all kept. A turn longer than the budget has a window that
-    exceeds it: turns are never cut. A role starting with "again " is kept by escaping its first
-    letter's mark with `\\`. An empty table gives no windows.
+    rows that are equal in all of them are all kept. The system turn is the first of that role; it heads every
+    window that starts after it. A window exceeds the budget only if one turn and the system turn alone do, as
+    turns are never cut; it then has one own turn and no history. A role starting with "again " is kept by
+    escaping its first letter's mark with `\\`. An empty table gives no windows.
     """
+    length = STRETCH * budget
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
+    ).withColumn("tokens", (F.regexp_count("text", F.lit(WORD)) + MARKS).cast("long"))
+    placed = prefix_sums(turns, "tokens", "start").withColumn("stretch", F.floor(F.col("start") / length))
+    # A stretch also sees the turns that its first window can repeat. A turn that reaches over a whole
+    # stretch is longer than any history, so the stretch before is enough.
+    seen = (F.col("stretch") + 1) * length - F.col("start") <= history
+    at = F.array(F.col("stretch"), F.when(seen, F.col("stretch") + 1))
+    rows = placed.withColumn("at", F.explode(F.filter(at, lambda x: x.isNotNull()))).select(
+        "conv_id", "at", F.when(F.col("at") > F.col("stretch"), 1).otherwise(2).alias("part"), "start", "tokens", "role", "text"
     )
-    turns = (
-        turns.withColumn("text_key", F.col("text"))
-        .groupBy("conv_id", "turn", "role", "text_key")
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .withColumn("tokens", (F.regexp_count("text_key", F.lit(WORD)) + MARKS).cast("long"))
-        .drop("copies")
+    systems = placed.filter(F.col("role") == "system").groupBy(F.col("conv_id").alias("s_conv"))
+    systems = systems.agg(F.min(F.struct("start", "tokens", "text", "stretch")).alias("system"))
+    stretches = placed.select("conv_id", F.col("stretch").alias("at")).distinct()
+    same = F.col("conv_id").eqNullSafe(F.col("s_conv")) & (F.col("at") >= F.col("system.stretch"))
+    heads = stretches.join(systems, same).select(
+        "conv_id", "at", F.lit(0).alias("part"), "system.start", "system.tokens", F.lit("system").alias("role"), "system.text"
     )
-    stride = max(1, budget - history)
-    placed = prefix_sums(turns, "tokens", "start").withColumn("end", F.col("start") + F.col("tokens"))
-    placed = placed.withColumn("window", F.floor(F.col("start") / stride))
-    # A window holds budget / MARKS turns at most, or one: this frame is bounded.
-    last = F.max("end").over(W.partitionBy("conv_id", "window"))
-    placed = placed.withColumn("w_end", last).withColumn("next", F.floor(F.col("w_end") / stride))
-    ends = placed.groupBy("conv_id").agg(
-        F.max("window").alias("last_window"),
-        F.min(F.when(F.col("role") == "system", F.struct("turn", "text_key", "copy", "window"))).alias("system"),
-    )
-    ends = ends.withColumnRenamed("conv_id", "e_conv")
-    placed = placed.join(ends, F.col("conv_id").eqNullSafe(F.col("e_conv")), "left")
-    is_system = (F.col("role") == "system") & (F.struct("turn", "text_key", "copy", "window") == F.col("system"))
-    own = F.struct(F.col("window").alias("at"), F.lit(2).alias("part"))
-    past = F.struct(F.col("next").alias("at"), F.lit(1).alias("part"))
-    repeats = (
-        (F.col("w_end") - F.col("start") <= history)
-        & F.col("next").between(F.col("window") + 1, F.col("last_window"))
-        & ~F.coalesce(is_system, F.lit(False))
-    )
-    shown = F.filter(F.array(own, F.when(repeats, past)), lambda x: x.isNotNull())
-    rows = placed.withColumn("shown", F.explode(shown)).select(
-        "conv_id", F.col("shown.at").alias("window"), F.col("shown.part").alias("part"), "start", "role", "text_key"
-    )
-    # One row for each window that repeats the system turn.
-    windows = placed.filter(F.col("window") > F.col("system.window")).select("conv_id", "window", "system").distinct()
-    heads = windows.select(
-        "conv_id",
-        "window",
-        F.lit(0).alias("part"),
-        F.lit(0).cast("long").alias("start"),
-        F.lit("system").alias("role"),
-        F.col("system.text_key").alias("text_key"),
-    )
-    return _written_out(rows.unionByName(heads))
-
-
-def _written_out(rows: DataFrame) -> DataFrame:
-    again = F.when(F.col("part") < 2, "again ").otherwise("")
-    role = F.regexp_replace(escape(F.col("role")), "^again ", r"\\again ")
-    head = F.concat(F.lit("<turn "), again, role, F.lit(">"))
-    body = escape(F.col("text_key"))
-    turn = F.struct(
-        "part",
-        "start",
-        F.length(head).alias("skip"),
-        F.length(body).alias("size"),
-        ((F.col("part") == 2) & (F.col("role") == "assistant")).alias("target"),
-        F.concat(head, body, F.lit("</turn>\n")).alias("line"),
-    )
-    made = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    spans = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("mask")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["line"])).alias("at"),
-            F.when(
-                t["target"],
-                F.concat(acc["mask"], F.array(F.array(acc["at"] + t["skip"], acc["at"] + t["skip"] + t["size"]))),
-            )
-            .otherwise(acc["mask"])
-            .alias("mask"),
-        ),
-    )
-    return made.select(
-        "conv_id",
-        "window",
-        F.concat_ws("", F.transform("turns", lambda t: t["line"])).alias("text"),
-        spans["mask"].alias("mask"),
+    return (
+        rows.unionByName(heads)
+        .repartition("conv_id", "at")
+        .sortWithinPartitions("conv_id", "at", "part", "start")
+        .mapInArrow(_filler(budget, history), "conv_id long, window long, text string, mask array<array<int>>")
     )
 
 
+Turn = tuple[int, int, str, str]  # start, tokens, role, text
+
+
+def _formatted(system: Turn | None, past: list[Turn], own: list[Turn]) -> tuple[str, list[list[int]]]:
+    parts, mask, at = [], [], 0
+    for turn in ([system] if system else []) + past + own:
+        again = turn is system or turn[0] < own[0][0]
+        role = escape(turn[2])
+        head = f"<turn {'again ' if again else ''}{chr(92) if role.startswith('again ') else ''}{role}>"
+        body = escape(turn[3])
+        if not again and turn[2] == "assistant":
+            mask.append([at + len(head), at + len(head) + len(body)])
+        parts.append(f"{head}{body}</turn>\n")
+        at += len(parts[-1])
+    return "".join(parts), mask
+
+
+def _filled(turns: Iterable[tuple[int, Turn]], budget: int, history: int) -> Iterator[tuple]:
+    """(window, text, mask) of one stretch: its system turn (part 0), turns before it (1) and own turns (2), in order."""
+    system: Turn | None = None
+    head: Turn | None = None
+    recent: deque[Turn] = deque()  # turns that end at most `history` tokens after their start
+    past: list[Turn] = []
+    own: list[Turn] = []
+    room = 0
+    for part, turn in turns:
+        start, tokens = turn[:2]
+        if part == 0:
+            system = turn
+            continue
+        if part == 2 and (not own or start + tokens - own[0][0] > room):
+            if own:
+                yield own[0][0], *_formatted(head, past, own)
+            head = system if system and system[0] < start else None
+            left = budget - (head[1] if head else 0)
+            reach = min(history, left - tokens)
+            past = [t for t in recent if start - t[0] <= reach]
+            room = left - (start - past[0][0] if past else 0)
+            past = [t for t in past if not head or t[0] != head[0]]
+            own = []
+        if part == 2:
+            own.append(turn)
+        recent.append(turn)
+        while recent and start + tokens - recent[0][0] > history:
+            recent.popleft()
+    if own:
+        yield own[0][0], *_formatted(head, past, own)
+
+
+def _filler(budget: int, history: int):
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            conv, at, *rest = batch.columns
+            for n in range(batch.num_rows):
+                part, *turn = (c[n].as_py() for c in rest)
+                yield (conv[n].as_py(), at[n].as_py()), (part, tuple(turn))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32()))]
+        done: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["conv_id", "window", "text", "mask"])
+
+        for (conv, _), group in groupby(rows(batches), key=itemgetter(0)):
+            for window in _filled((x for _, x in group), budget, history):
+                done.append((conv, *window))
+                size += len(window[1])
+                if size > 1 << 22:
+                    yield flush()
+                    done, size = [], 0
+        if done:
+            yield flush()
+
+    return run
+
+
 TURN = re.compile(r"<turn (again )?([^<>]*)>([^<>]*)</turn>\n")
 
 

@@ -118,7 +118,7 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_chat",
     r"""
-WITH said AS (
+WITH RECURSIVE said AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
 ),
@@ -136,31 +136,48 @@ sized AS (
              + length('<turn >') + length('</turn>') + 1 AS chars
     FROM said
 ),
-summed AS (
+summed AS MATERIALIZED (
     SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
     FROM sized
 ),
-placed AS (SELECT *, first // 384 AS win FROM summed),
-ended AS (
-    SELECT *, max(first + tokens) OVER (PARTITION BY conv_id, win) AS w_end,
-           max(win) OVER (PARTITION BY conv_id) AS last_win,
-           min(CASE WHEN role = 'system' THEN first END) OVER (PARTITION BY conv_id) AS system_first
-    FROM placed
-),
 systems AS (
-    SELECT e.conv_id, count(DISTINCT w.win) * (any_value(e.chars) + 6) AS chars
-    FROM ended e JOIN placed w ON w.conv_id = e.conv_id AND w.win > e.win
-    WHERE e.first = e.system_first GROUP BY e.conv_id
+    SELECT conv_id, min(first) AS s_first, arg_min(tokens, first) AS s_tokens, arg_min(chars, first) AS s_chars
+    FROM summed WHERE role = 'system' GROUP BY conv_id
+),
+opened AS (
+    SELECT t.*, first // 8192 AS stretch, s_first, CASE WHEN s_first < first THEN s_chars + 6 ELSE 0 END AS head_chars,
+           512 - CASE WHEN s_first < first THEN s_tokens ELSE 0 END AS space
+    FROM summed t LEFT JOIN systems USING (conv_id)
+),
+reached AS (
+    SELECT o.conv_id, o.first, coalesce(max(o.first - h.first), 0) AS past_tokens,
+           coalesce(sum(h.chars + 6) FILTER (h.first IS DISTINCT FROM o.s_first), 0) AS past_chars
+    FROM opened o LEFT JOIN summed h
+      ON h.conv_id = o.conv_id AND h.first < o.first AND o.first - h.first <= least(128, o.space - o.tokens)
+    GROUP BY o.conv_id, o.first
+),
+followed AS MATERIALIZED (
+    SELECT o.conv_id, o.first, any_value(o.head_chars + r.past_chars) AS extra, min(n.first) AS following
+    FROM opened o JOIN reached r USING (conv_id, first)
+    LEFT JOIN opened n ON n.conv_id = o.conv_id AND n.stretch = o.stretch AND n.first > o.first
+                      AND n.first + n.tokens - o.first > o.space - r.past_tokens
+    GROUP BY o.conv_id, o.first
+),
+windows AS (
+    SELECT conv_id, min(first) AS first FROM opened GROUP BY conv_id, stretch
+    UNION ALL
+    SELECT w.conv_id, f.following FROM windows w JOIN followed f USING (conv_id, first) WHERE f.following IS NOT NULL
 ),
 formatted AS (
-    SELECT conv_id, sum(chars + CASE WHEN w_end - first <= 128 AND w_end // 384 BETWEEN win + 1 AND last_win
-                                      AND (system_first IS NULL OR first <> system_first) THEN chars + 6 ELSE 0 END) AS chars
-    FROM ended GROUP BY conv_id
+    SELECT s.conv_id, s.chars + w.extra AS chars
+    FROM (SELECT conv_id, sum(chars) AS chars FROM sized GROUP BY conv_id) s
+    JOIN (SELECT conv_id, sum(extra) AS extra FROM windows JOIN followed USING (conv_id, first) GROUP BY conv_id) w
+    USING (conv_id)
 )
 SELECT r.conv_id, r.n_turns, sha256(r.turns) AS turns_sha256, length(r.loss) AS loss_chars,
-       sha256(r.loss) AS loss_sha256, CAST(f.chars + coalesce(s.chars, 0) AS BIGINT) AS formatted_chars
-FROM raw r JOIN formatted f USING (conv_id) LEFT JOIN systems s USING (conv_id)
+       sha256(r.loss) AS loss_sha256, CAST(f.chars AS BIGINT) AS formatted_chars
+FROM raw r JOIN formatted f USING (conv_id)
 """,
 )
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
