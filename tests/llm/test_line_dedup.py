@@ -6,16 +6,19 @@ from swathgrid.llm.line_dedup import drop_recurring_lines, tokens
 from swathgrid.llm.queries import QUERIES
 
 
-def brute(rows, min_docs=5, min_tokens=3, depth=3, similar=0.8, constants=4):
+def brute(rows, min_docs=5, min_tokens=3, depth=3, similar=0.8, constants=4, short_docs=50, long_tokens=50, long_docs=None):
+    def needed(n):
+        return max(short_docs, min_docs) if n < min_tokens else long_docs if long_docs and n >= long_tokens else min_docs
+
     lines = {(i, n): tuple(tokens(x)) for i, t in rows for n, x in enumerate((t or "").split("\n"))}
-    lines = {k: v for k, v in lines.items() if len(v) >= min_tokens}
+    lines = {k: v for k, v in lines.items() if v}
     docs = defaultdict(set)
     for (i, _), v in lines.items():
         docs[v].add(i)
-    gone = {k for k, v in lines.items() if len(docs[v]) >= min_docs and k[0] != min(docs[v])}
+    gone = {k for k, v in lines.items() if len(docs[v]) >= needed(len(v)) and k[0] != min(docs[v])}
     leaves = defaultdict(list)
     for k, v in lines.items():
-        if len(docs[v]) < min_docs:
+        if len(docs[v]) < needed(len(v)) and len(v) >= min_tokens:
             leaves[len(v), v[:depth]].append(k)
     for own in leaves.values():
         ids = {i for i, _ in own}
@@ -27,20 +30,39 @@ def brute(rows, min_docs=5, min_tokens=3, depth=3, similar=0.8, constants=4):
             token, count = best.most_common(1)[0]
             if 2 * count >= len(ids):
                 template[p] = token
-        if len(template) < max(constants, -(-n * 6 // 10)):
-            continue
-        ok = [k for k in own if sum(lines[k][p] == t for p, t in template.items()) >= -(-len(template) * 8 // 10)]
+        enough, ok = max(constants, -(-n * 6 // 10)), []
+        if len(template) >= enough:
+            ok = [k for k in own if sum(lines[k][p] == t for p, t in template.items()) >= -(-len(template) * 8 // 10)]
         found = {i for i, _ in ok}
         if len(found) >= min_docs:
             gone |= {k for k in ok if k[0] != min(found)}
+            own = sorted(set(own) - set(ok))
+        gone |= further(lines, own, min_docs, enough)
     return {i: "\n".join(x for n, x in enumerate((t or "").split("\n")) if (i, n) not in gone) for i, t in rows}
 
 
+def further(lines, own, min_docs, enough):
+    """Lines whose tokens in 5, 10, 20, .. documents of the leaf are those of 5 documents or more."""
+    seen, families = defaultdict(set), defaultdict(set)
+    for k in own:
+        for place in enumerate(lines[k]):
+            seen[place].add(k[0])
+    least = min_docs
+    while any(len(x) >= least for x in seen.values()):
+        for k in own:
+            fixed = tuple(place for place in enumerate(lines[k]) if len(seen[place]) >= least)
+            if len(fixed) >= enough:
+                families[fixed].add(k)
+        least *= 2
+    large = [x for x in families.values() if len({i for i, _ in x}) >= min_docs]
+    return {k for x in large for k in x if k[0] != min(x)[0]}
+
+
 def same(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    got = {r.doc_id: r.text or "" for r in drop_recurring_lines(docs).collect()}
-    want = brute(rows)
-    assert got == want
+    for long_docs in (2, None):
+        got = {r.doc_id: r.text or "" for r in drop_recurring_lines(docs, long_docs=long_docs).collect()}
+        assert got == brute(rows, long_docs=long_docs)
     return got
 
 
@@ -84,7 +106,7 @@ def test_a_leaf_holds_several_templates(spark):
     prose = [" ".join(["note", "from", "the"] + [f"{n}{chr(97 + k)}" for k in range(7)]) for n in names]
     # Every name occurs in four lines of each kind, so it is frequent in the leaf itself.
     texts = [k.format(names[i % 10]) for k in kinds for i in range(40)] + prose
-    got = {r.doc_id: r.text for r in drop_recurring_lines(docs_of(spark, texts)).collect()}
+    got = same(spark, docs_of(spark, texts))
     assert sorted(i for i, t in got.items() if i < 120 and t) == [0, 40, 80]
     assert all(got[120 + i] == t for i, t in enumerate(prose))
 

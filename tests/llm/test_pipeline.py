@@ -18,7 +18,7 @@ def test_stages_against_brute_force(spark):
         if name != "packing":
             assert docs.columns == columns
     text = {k: {r.doc_id: r.text for r in v.collect()} for k, v in steps.items() if k != "packing"}
-    assert text["lines"] == line_brute(list(text["quality"].items()))
+    assert text["lines"] == line_brute(list(text["quality"].items()), long_docs=2)
     groups = near_brute(list(text["lines"].items()), 5, 80, 100)
     assert set(text["near_duplicates"]) == {i for i, _, c in groups if i == c}
     assert text["personal_data"] == {i: masked(t) for i, t in text["near_duplicates"].items()}
