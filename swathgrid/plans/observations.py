@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from swathgrid.functions.geo import illumination_weight, wrap_lon
 from swathgrid.operators import mosaic as M
+from swathgrid.operators.accumulate import mosaic_by_tiles
 from swathgrid.operators.ranking import quantiles
 from swathgrid.operators.tiles import stack_columns
 from swathgrid.plans.files import write_cubes, write_flat_rasters
@@ -47,6 +48,11 @@ def mosaic_weighted(spark, sf):
     return rounded(M.mosaic(fixture(spark, sf, "obs"), OBS_GRID, BANDS), *MEANS)
 
 
+@query("mosaic_tiles", "A1 A2", MOSAIC_SQL)
+def mosaic_tiles(spark, sf):
+    return rounded(mosaic_by_tiles(fixture(spark, sf, "obs"), OBS_GRID, BANDS, block=8), *MEANS)
+
+
 @query(
     "mosaic_coverage",
     "A2 A12",
@@ -212,6 +218,16 @@ def stream_mosaic(spark, sf):
     return rounded(jobs.current_mosaic(partials.drop("batch"), BANDS), *MEANS)
 
 
+@query("stream_mosaic_tiles", "T1 A1", MOSAIC_SQL)
+def stream_mosaic_tiles(spark, sf):
+    schema = table(spark, sf, "lineitem").schema
+    strips = _obs_from(_stream(spark, sf, schema, "lineitem.parquet"))
+    sink = scratch(spark, "tiles")
+    job = jobs.stream_tiles(strips, OBS_GRID, BANDS, sink, scratch(spark, "tiles-log"), block=8)
+    partials = jobs.drain(job, lambda: spark.read.parquet(sink))
+    return rounded(jobs.current_tiles(partials, OBS_GRID, BANDS, block=8), *MEANS)
+
+
 @query(
     "stream_stats",
     "T2",

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from swathgrid.constants import MAX_INCIDENCE_DEG
 from swathgrid.grid import Grid
+from swathgrid.operators.accumulate import BLOCK, merge_tiles, tile_cells, tile_sums
 from swathgrid.operators.mosaic import finalise, merge_sums, usable_observations, weighted_sums
 
 
@@ -46,6 +47,28 @@ def current_mosaic(partials: DataFrame, bands: list[str]) -> DataFrame:
     return finalise(merge_sums(partials), bands)
 
 
+def stream_tiles(
+    strips: DataFrame, grid: Grid, bands: list[str], sink: str, checkpoint: str,
+    lat: str = "lat", lon: str = "lon", block: int = BLOCK, trigger: dict | None = None,
+) -> StreamingQuery:
+    """As :func:`stream_mosaic`, but a batch writes one row a tile; read with :func:`current_tiles`."""
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        merge_tiles(tile_sums(batch, grid, bands, block), bands, block).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    usable = usable_observations(strips, grid, bands, lat, lon)
+    return (
+        usable.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def current_tiles(partials: DataFrame, grid: Grid, bands: list[str], block: int = BLOCK) -> DataFrame:
+    return finalise(tile_cells(merge_tiles(partials, bands, block), grid, bands, block), bands)
+
+
 def stream_stats(cells: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Running n, mean, deviation, min and max per channel; state is one row per channel."""
     v = F.col("value")
