@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from swathgrid.sources.workspace import released, scratch
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run without ASCII white space. `bytes.split()` cuts at the same characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class Drafts:
+    """Tables that an operator writes on its way and drops when the tables that follow from them are written."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[SparkSession, str]] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(df.sparkSession, name)
+        df.write.parquet(path)
+        self.held.append((df.sparkSession, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.held:
+            released(*self.held.pop())
+
+
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns that count, whatever else the table holds; null text is empty."""
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -18,15 +18,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathgrid.llm.common import slices
+from swathgrid.llm.common import Drafts, slices
 from swathgrid.llm.graph import components
 from swathgrid.llm.shingles import SKETCH, U, Shingles, parities
 from swathgrid.sources.workspace import written
 
 CHUNK_BYTES = 4 << 20
+NO_ID = -(2**63)
 
 
-def one_key_a_group(keys: DataFrame) -> DataFrame:
+def hashed(base: DataFrame) -> DataFrame:
+    """`base` (doc_id, text) with `h`, a hash of the text."""
+    return base.select("doc_id", "text", F.xxhash64("text").alias("h"))
+
+
+def one_text() -> Column:
+    """Of rows (doc_id, h) with one set, the document that stands for them."""
+    return F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "h")).alias("at")
+
+
+def one_key_a_group(keys: DataFrame, drafts: Drafts) -> DataFrame:
     """Of rows (key, node) those of keys with two nodes or more, with `g`, their number; one key for each set of nodes."""
     groups = keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("g"),
@@ -34,7 +45,7 @@ def one_key_a_group(keys: DataFrame) -> DataFrame:
         F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"),
     )
     groups = groups.filter("g > 1").groupBy("g", "x1", "x2").agg(F.min("key").alias("key"))
-    return written(keys.join(written(groups.select("key", "g"), "link-groups"), "key"), "link-members")
+    return drafts.written(keys.join(drafts.written(groups.select("key", "g"), "link-groups"), "key"), "link-members")
 
 
 def _may_link(num: int, den: int) -> Column:
@@ -47,29 +58,37 @@ def _may_link(num: int, den: int) -> Column:
 def _sets_of(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, s (shingle hashes), bits (parity sketch) of the wanted nodes, made again from one text of each.
 
-    The wanted ids grow with the input, so they are never shipped to all tasks: the join is a shuffle at every size.
+    The wanted texts grow with the input, so they are never shipped to all tasks: the join is a shuffle at every size, and the
+    only one, as `at` names one text for each node. Repeated rows come out of the sorted join one after
+    the other; should a split of a large partition part them, a node comes twice, which makes equal links.
     """
-    nothing = -(2**63)
-    ids = wanted.select(F.coalesce("least", F.lit(nothing)).alias("id")).distinct()
-    own = base.select(F.coalesce("doc_id", F.lit(nothing)).alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
+    texts = hashed(base).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "h", "text")
+    own = texts.join(wanted.select("at.id", "at.h", "node", "print").hint("merge"), ["id", "h"]).select("node", "print", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingles(n)
+        make, last = Shingles(n), None
         for batch in slices(batches, "text", CHUNK_BYTES):
+            nodes = batch.column("node").to_pylist()
+            fresh = [i for i, node in enumerate(nodes) if node != (nodes[i - 1] if i else last)]
+            last = nodes[-1] if nodes else last
+            batch = batch.take(pa.array(fresh, pa.int64()))
             sets = make.sets(batch.column("text").to_pylist())
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            # Another text of the same id and hash has another print.
+            own = [xxhash.xxh3_128_digest(s.tobytes()) == p for s, p in zip(sets, batch.column("print").to_pylist(), strict=True)]
+            batch, sets = batch.filter(pa.array(own, pa.bool_())), [s for s, good in zip(sets, own, strict=True) if good]
             flat = np.concatenate([np.zeros(0, U), *sets]).view(np.int64)
             ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
             words = pa.array(np.concatenate([np.zeros(0, np.int64), *map(parities, sets)]))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * SKETCH, pa.int32()), words)
-            columns = [pa.array(prints, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat)), bits]
-            yield pa.RecordBatch.from_arrays(columns, names=["print", "s", "bits"])
+            columns = [batch.column("node"), pa.ListArray.from_arrays(ends, pa.array(flat)), bits]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "s", "bits"])
 
-    made = own.mapInArrow(run, "print binary, s array<long>, bits array<long>").join(wanted.select("node", "print"), "print")
-    return made.groupBy("node").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))  # rows may repeat an id
+    return own.mapInArrow(run, "node long, s array<long>, bits array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = sets.join(used, "node", "left_semi")
     left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("s_a", "s_b")).cast("long")
@@ -90,12 +109,13 @@ def _first_round(members: DataFrame, num: int, den: int) -> DataFrame:
     return _as_pairs(members.join(lead, "key").filter((F.col("node") != F.col("p")) & _may_link(num, den)))
 
 
-def _last_round(members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _last_round(members: DataFrame, labels: DataFrame, num: int, den: int, drafts: Drafts) -> DataFrame:
     """Members outside a key's largest component with its members of other components."""
     own = members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = own.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
-    own = written(own.join(written(main.filter("comps > 1").select("key", "main"), "link-open"), "key"), "link-open-members")
+    main = drafts.written(main.filter("comps > 1").select("key", "main"), "link-open")
+    own = drafts.written(own.join(main, "key"), "link-open-members")
     names = [F.col(c).alias(f"p_{c}") for c in ("comp", "n", "bits")]
     outside = own.filter("comp != main").select(F.col("key").alias("p_key"), *names, F.col("node").alias("p"))
     # Two members outside the largest component meet once only.
@@ -107,20 +127,22 @@ def _last_round(members: DataFrame, labels: DataFrame, num: int, den: int) -> Da
 def linked_nodes(base: DataFrame, nodes: DataFrame, members: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node, comp (smallest node reachable) of nodes with a link.
 
-    `base`: doc_id, text. `nodes`: node, print, least (id of one of its documents), n (set size).
-    `members`: key, node, g, as of `one_key_a_group`.
+    `base`: doc_id, text. `nodes`: node, print, at (see `one_text`), n (set size).
+    `members`: key, node, g, as of `one_key_a_group`. Of the tables written here only the result is left.
     """
-    met = written(members.select("node").distinct().join(nodes.select("node", "n", "print", "least"), "node"), "link-met")
-    sets = written(_sets_of(base, met, n), "link-sets")
-    facts = written(met.select("node", "n").join(sets.select("node", "bits"), "node"), "link-facts")
-    members = written(members.join(facts, "node"), "link-members")
-    pairs = written(_first_round(members, num, den), "link-pairs")
-    links = written(_linked(pairs, sets, num, den), "links")
+    drafts = Drafts()
+    met = drafts.written(members.select("node").distinct().join(nodes.select("node", "n", "print", "at"), "node"), "link-met")
+    sets = drafts.written(_sets_of(base, met, n), "link-sets")
+    facts = met.select("node", "n").join(sets.select("node", "bits").dropDuplicates(["node"]), "node")
+    members = drafts.written(members.join(drafts.written(facts, "link-facts"), "node"), "link-members")
+    pairs = drafts.written(_first_round(members, num, den), "link-pairs")
+    links = drafts.written(_linked(pairs, sets, num, den), "links")
     labels = components(links)
-    more = written(_last_round(members, labels, num, den).join(pairs, ["a", "b"], "left_anti"), "link-pairs")
-    if more.isEmpty():
-        return labels
-    return components(links.unionByName(written(_linked(more, sets, num, den), "links")))
+    more = drafts.written(_last_round(members, labels, num, den, drafts).join(pairs, ["a", "b"], "left_anti"), "link-pairs")
+    if not more.isEmpty():
+        labels = components(links.unionByName(drafts.written(_linked(more, sets, num, den), "links")))
+    drafts.drop()
+    return labels
 
 
 def classes(facts: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:

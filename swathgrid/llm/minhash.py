@@ -23,13 +23,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathgrid.llm.common import id_and_text, slices
-from swathgrid.llm.links import classes, linked_nodes, one_key_a_group
+from swathgrid.llm.common import Drafts, id_and_text, slices
+from swathgrid.llm.links import classes, hashed, linked_nodes, one_key_a_group, one_text
 from swathgrid.llm.shingles import Shingles, U, mix
 from swathgrid.sources.workspace import written
 
 CHUNK_BYTES = 2 << 20
-FACTS = "uid long, doc_id long, n long, print binary, halves binary"
+FACTS = "uid long, doc_id long, n long, print binary, halves binary, h long"
 
 
 class Halves:
@@ -74,9 +74,10 @@ def set_facts(n: int, side: int, width: int):
                 batch.column("doc_id"),
                 pa.array(list(map(len, sets)), pa.int64()),
                 *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)),
+                batch.column("h"),
             ]
             seen += len(sets)
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "print", "halves"])
+            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "print", "halves", "h"])
 
     return run
 
@@ -120,15 +121,15 @@ def _grouped(batches: Iterable[pa.RecordBatch], most: int = 20_000) -> Iterator[
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def table_members(nodes: DataFrame, side: int) -> DataFrame:
+def table_members(nodes: DataFrame, side: int, drafts: Drafts) -> DataFrame:
     """key, node of every table key that two nodes or more share; of keys with the same members one is enough."""
-    halves = written(nodes.select("node", "halves").mapInArrow(_each_half, "node long, slot int, half long"), "minhash-halves")
+    halves = drafts.written(nodes.select("node", "halves").mapInArrow(_each_half, "node long, slot int, half long"), "minhash-halves")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("half")
-    own = halves.join(written(shared, "minhash-shared"), "half")
+    own = halves.join(drafts.written(shared, "minhash-shared"), "half")
     own = own.groupBy("node").agg(F.collect_list("slot").alias("slots"), F.collect_list("half").alias("halves"))
     make = _table_keys(side)
-    keys = written(own.mapInArrow(lambda batches: _grouped(make(batches)), "key long, node long"), "minhash-keys")
-    return one_key_a_group(keys)
+    keys = drafts.written(own.mapInArrow(lambda batches: _grouped(make(batches)), "key long, node long"), "minhash-keys")
+    return one_key_a_group(keys, drafts)
 
 
 def near_duplicate_classes(
@@ -142,12 +143,13 @@ def near_duplicate_classes(
     the smallest id reachable; null ids take part but are never the smallest, and their rows are kept only
     where the component has no id at all. Repeated rows give repeated results; other columns are not read.
     """
-    base = id_and_text(docs)
-    facts = written(base.mapInArrow(set_facts(n, side, width), FACTS), "minhash-facts")
+    base, drafts = id_and_text(docs), Drafts()
+    facts = written(hashed(base).mapInArrow(set_facts(n, side, width), FACTS), "minhash-facts")
     nodes = facts.filter("print IS NOT NULL").groupBy("print").agg(
-        F.min("uid").alias("node"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "halves"))
+        F.min("uid").alias("node"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", "halves")), one_text()
     )
     nodes = written(nodes, "minhash-nodes")
-    labels = linked_nodes(base, nodes, table_members(nodes, side), n, num, den)
+    labels = linked_nodes(base, nodes, table_members(nodes, side, drafts), n, num, den)
+    drafts.drop()
     found = classes(facts.select("print", "doc_id", "n"), nodes, labels)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
