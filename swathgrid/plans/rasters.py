@@ -14,6 +14,7 @@ from swathgrid.operators import stats as S
 from swathgrid.operators import stencil, vector
 from swathgrid.operators.sampling import evenly_spaced
 from swathgrid.operators.tiles import add_tile, pack_tiles, stack_columns, unpack_tiles, with_registry
+from swathgrid.operators.triangulate import grid_triangulated as triangulated
 from swathgrid.plans.fixtures import (
     DEM_PIXEL_M,
     LATTICE,
@@ -335,6 +336,13 @@ def grid_scattered(spark, sf):
     return off_tie(out, "value")
 
 
+@query("grid_triangulated", "J11 F10")
+def grid_triangulated(spark, sf):
+    """Circumcircles are not SQL over whole tables; the tests hold the operator against all triples of centres."""
+    bins = fixture(spark, sf, "bins").where(F.col("feo") > -0.01)
+    return triangulated(bins, 180, 90, "feo", block=32)
+
+
 # ---- vector features -----------------------------------------------------------------------
 
 CRATER_SQL = """
